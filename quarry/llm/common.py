@@ -15,10 +15,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise: long texts don't pile up.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to BATCH_BYTES where the session has set no smaller bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which every executor shares.
 

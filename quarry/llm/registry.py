@@ -1,10 +1,18 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from quarry.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from quarry.llm.langid import op4_langid
 from quarry.llm.mixing import op2_mixing
+from quarry.llm.neardup import OP6_SQL, op6_neardup
+from quarry.llm.sstable import op3_sstable
+from quarry.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_sstable": op3_sstable,
+    "op4_langid": op4_langid,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_neardup": op6_neardup,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op6_neardup": OP6_SQL}
