@@ -208,3 +208,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_g
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with the columns of docs."""
+    model = train(docs, labels, max_docs, max_grams)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([m["slope"] * mean_ratio(t or "", m) + m["offset"] < 0 for t in b["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
