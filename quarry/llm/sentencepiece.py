@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -180,9 +181,7 @@ class Encoder:
             self.older, self.kept = self.kept, {}
         mark = SPACE_MARK if self.model.dummy_prefix else ""
         cut = [_split((mark + t).replace(" ", SPACE_MARK)) if t else [] for t in texts]
-        new: set[str] = set()
-        for words in cut:
-            new |= set(words).difference(self.kept)
+        new = set(chain.from_iterable(cut)).difference(self.kept)
         todo = []
         for w in new:
             if (old := self.older.get(w)) is not None:
@@ -207,7 +206,8 @@ class Encoder:
             from sentencepiece import SentencePieceProcessor
 
             self.original = SentencePieceProcessor(model_file=self.path)
-        return [array("I", x).tobytes() for x in self.original.encode(texts, num_threads=1)]
+        encode = self.original.EncodeAsIds
+        return [array("I", encode(t)).tobytes() for t in texts]
 
 
 def encode_documents(docs: DataFrame, model: str, verify: bool = False, with_ids: bool = True) -> DataFrame:
