@@ -44,7 +44,11 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._gateway = spark.sparkContext._gateway
         self._io = spark._jvm.org.apache.commons.io.IOUtils
 
     def _at(self, name: str):
@@ -70,9 +74,9 @@ class Store:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(name):
-            self._fs.delete(self._at(name), False)
-        self._fs.rename(self._at(new), self._at(name))
+        options = self._gateway.new_array(self._rename, 1)
+        options[0] = self._rename.OVERWRITE
+        self._context.rename(self._at(new), self._at(name), options)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
