@@ -1,7 +1,7 @@
 """Near-duplicate documents: banded MinHash candidates, odd-sketch verification, exact confirmation.
 
 1. One pass over the texts gives each document the hash of its word sequence, the size of its
-   shingle set, BANDS band keys and an odd sketch: its MinHash samples folded into a parity bitmap.
+   shingle set, band keys and an odd sketch: its MinHash samples folded into a parity bitmap.
 2. Documents with one word sequence collapse to the smallest id; copies are never paired.
 3. Documents that share a band key form a bucket. Each member is paired with the bucket's smallest
    id only. Where the XOR of two sketches has more bits than a linked pair can show, the pair is
@@ -26,7 +26,10 @@ from quarry.llm import shingles as S
 from quarry.llm.common import stage, table
 from quarry.llm.components import connected
 
-_SKETCH = [f"s{i}" for i in range(S.SKETCH_WORDS)]
+_WORDS = [f"s{i}" for i in range(S.SKETCH_WORDS)]
+_SKETCH = ["n", *_WORDS]
+#: Standard deviations of sampling that a linked pair's sketches may be off by; and spare bits for its folding.
+MARGIN, SPARE = 6.0, 20.0
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -40,19 +43,33 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 own = S.shingle_set(words, width)
                 seqs.append(S.sequence_hash(words))
                 sizes.append(len(own))
-                sample = S.samples(own)
-                bands.append(S.band_keys(sample).tolist() if len(own) else [])
-                sketches.append(S.odd_sketch(sample))
+                bands.append(S.band_keys(S.minima(own)).tolist() if len(own) else [])
+                sketches.append(S.odd_sketch(own))
             sk = np.array(sketches, np.int64).reshape(len(sizes), S.SKETCH_WORDS)
             arrays = [b["id"], *[pa.array([s[k] for s in seqs], pa.int64()) for k in (0, 1)], pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(sk[:, k]) for k in range(S.SKETCH_WORDS)], ["id", "seq1", "seq2", "n", "bands", *_SKETCH])
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(sk[:, k]) for k in range(S.SKETCH_WORDS)], ["id", "seq1", "seq2", "n", "bands", *_WORDS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return stage(rows.mapInArrow(sign, f"id long, seq1 long, seq2 long, n long, bands array<long>, {', '.join(f'{s} long' for s in _SKETCH)}"), "signatures")
+    return stage(rows.mapInArrow(sign, f"id long, seq1 long, seq2 long, n long, bands array<long>, {', '.join(f'{s} long' for s in _WORDS)}"), "signatures")
 
 
-def _differing(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in _SKETCH))
+def near_sketches(a: str, b: str, percent: int) -> Column:
+    """Whether two documents (columns prefixed a and b) can have the similarity, by set sizes and sketches.
+
+    The XOR of two sketches has at most as many bits as the samples differ in hashes. Sets that are
+    sampled whole differ in (1 - s) / (1 + s) of their sizes' sum at most, which no linked pair
+    exceeds. For larger sets the sample of the larger one shares a binomial number of hashes with
+    the other's, of which the bound leaves MARGIN deviations; bits that flip twice cancel, so the
+    bound on bits is the expected count for so many differing hashes, and SPARE.
+    """
+    x, y = F.col(f"{a}n").cast("double"), F.col(f"{b}n").cast("double")
+    lo, hi, k, s = F.least(x, y), F.greatest(x, y), float(S.SAMPLE), percent / 100
+    shared = F.least(s / (1 + s) * (lo + hi) / hi, F.lit(1.0))
+    sampled = F.least(lo, F.lit(k)) + k - 2 * k * shared + 2 * MARGIN * F.sqrt(k * shared * (1 - shared))
+    differ = F.when(hi <= k, (1 - s) / (1 + s) * (lo + hi)).otherwise(sampled)
+    folded = S.SKETCH_BITS / 2 * (1 - F.exp(differ * (-2.0 / S.SKETCH_BITS))) + SPARE
+    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in _WORDS))
+    return (100 * lo >= percent * hi) & (bits <= F.when(hi <= k, F.floor(differ + 1e-6)).otherwise(F.least(differ, folded)))
 
 
 def _named(df: DataFrame, prefix: str) -> DataFrame:
@@ -65,12 +82,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
+        size = 0
 
         def own(doc_id: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
             if doc_id not in kept:
-                if len(kept) >= 256:
+                if size > 64 << 20:
                     kept.clear()
+                    size = 0
                 kept[doc_id] = S.shingle_set(S.word_hashes(text.as_py() or ""), width)
+                size += kept[doc_id].nbytes + 200
             return kept[doc_id]
 
         for batch in batches:
@@ -99,7 +120,6 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     groups = stage(full.groupBy("seq1", "seq2").agg(F.min("id").alias("rep")), "sequences")
     first = full.join(_named(groups, "g_"), (F.col("seq1") == F.col("g_seq1")) & (F.col("seq2") == F.col("g_seq2")) & (F.col("id") == F.col("g_rep")))
     reps = stage(first.select("id", "bands", *_SKETCH).dropDuplicates(["id"]), "representatives")
-    most = S.most_differing_bits(percent / 100)
 
     bands = reps.select("id", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("key").alias("b_key"), "leader")
@@ -109,7 +129,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     texts = stage(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(in_buckets, F.col("id") == F.col("m_id"), "left_semi").dropDuplicates(["id"]), "texts")
 
     star = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    near = star.join(_named(sketches, "a_"), F.col("a") == F.col("a_id")).join(_named(sketches, "b_"), (F.col("b") == F.col("b_id")) & (_differing("a_", "b_") <= most))
+    near = star.join(_named(sketches, "a_"), F.col("a") == F.col("a_id")).join(_named(sketches, "b_"), (F.col("b") == F.col("b_id")) & near_sketches("a_", "b_", percent))
     links = confirm(near.select("a", "b"), texts, width, percent)
     found = stage(connected(links), "components")
 
@@ -117,7 +137,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     placed = stage(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select(F.col("key").alias("m_key"))
     open_members = stage(placed.where("id <> leader").join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(_named(sketches, "k_"), F.col("id") == F.col("k_id")).select("key", "id", "component", *[F.col(f"k_{s}").alias(s) for s in _SKETCH]), "open")
-    on = (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & (_differing("x_", "y_") <= most)
+    on = (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & near_sketches("x_", "y_", percent)
     cross = _named(open_members, "x_").join(_named(open_members, "y_"), on).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     more = confirm(stage(cross, "cross"), texts, width, percent)
     if more.take(1):

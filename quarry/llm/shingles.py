@@ -1,4 +1,4 @@
-"""Word shingles of whole texts as sets of 64-bit hashes, MinHash samples and odd sketches, in numpy.
+"""Word shingles of whole texts as sets of 64-bit hashes, MinHash bands and odd sketches, in numpy.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased. A word's hash
 is a polynomial of its (mixed) bytes modulo 2**64, taken from running sums over the whole text, and
@@ -24,12 +24,14 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: MinHash: BANDS bands of ROWS samples; at a similarity of 0.8 a pair shares no band once in about 65,000.
 BANDS, ROWS = 28, 5
-SAMPLES = BANDS * ROWS
-_A = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
+MINIMA = BANDS * ROWS
+_A = _rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _band_mul = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bits of an odd sketch, in 64-bit words of which the table has one column each.
-SKETCH_WORDS = 8
+#: An odd sketch folds the SAMPLE smallest hashes of a set (a bottom-k MinHash sample, the whole set if it is no larger)
+#: into a bitmap of SKETCH_BITS, of which the table has one column for each 64-bit word.
+SAMPLE = 1024
+SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 
 
@@ -84,10 +86,10 @@ def sequence_hash(words: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of the set under as many hash functions."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """MINIMA minima of the set under as many hash functions."""
     x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 2048):  # parts that stay in the processor's cache
         out = np.minimum(out, (_A[:, None] * x[None, i : i + 2048] + _B[:, None]).min(axis=1))
     return out
@@ -99,21 +101,8 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return mix((mix(rows + np.uint64(1)) * _band_mul).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _BASE).astype(np.int64)
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
-    """Parity of how many (position, sample) items fall on each bit; SKETCH_WORDS signed 64-bit integers."""
-    at = mix(sample.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) >> np.uint64(64 - (SKETCH_BITS.bit_length() - 1))
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of how many sampled hashes fall on each bit; SKETCH_WORDS signed 64-bit integers. shingles: sorted, as shingle_set gives them."""
+    at = mix(shingles[:SAMPLE] ^ _M2) >> np.uint64(64 - (SKETCH_BITS.bit_length() - 1))
     odd = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
-
-
-def most_differing_bits(similarity: float, margin: float = 4.5) -> int:
-    """The XOR population count that a pair of this similarity passes at most, but for one in about 300,000.
-
-    Each of the SAMPLES positions differs with probability 1 - similarity and then flips two bits;
-    bits that flip twice cancel. The bound is the mean plus margin standard deviations.
-    """
-    p = 1 - similarity
-    mean_items = 2 * SAMPLES * p
-    spread = 2 * np.sqrt(SAMPLES * p * (1 - p)) if p else 0.0
-    worst = mean_items + margin * spread
-    return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-2 * worst / SKETCH_BITS)) + 2 * np.sqrt(max(worst, 1)) / 2))
