@@ -27,21 +27,24 @@ BITS = 15
 ALPHA = 0.5
 MAX_DOCS = 3000
 PART = 1 << 18
-#: Languages come from a column of the training rows; more than this many would need a larger model than is broadcast.
+#: The model holds so many languages at most, those of the most documents.
 MAX_LANGS = 1000
 _letter = re.compile(r"[^\W\d_]").search
 _gaps = re.compile(r"[\W\d_]+").sub
 
 
-def buckets(text: str) -> np.ndarray:
-    """The rows of the matrix that the n-grams of one text fall in."""
+def buckets(text: str) -> Iterator[np.ndarray]:
+    """The rows of the matrix that the n-grams of one text fall in; those that start in one part of PART characters at a time."""
     codes = np.frombuffer(f" {_gaps(' ', text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    out, h = [], np.zeros(len(codes), np.uint32)
-    for n in range(ORDERS):
-        h = codes * np.uint32(0x9E3779B1) if n == 0 else (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + codes[n:] * np.uint32(0x9E3779B1)
-        mixed = (h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE35)
-        out.append((mixed >> np.uint32(32 - BITS)) + np.uint32(n << BITS))
-    return np.concatenate(out)
+    for i in range(0, len(codes), PART):
+        part = codes[i : i + PART + ORDERS - 1]
+        out, h = [], np.zeros(0, np.uint32)
+        for n in range(ORDERS):
+            own = part[n:] * np.uint32(0x9E3779B1)
+            h = own if n == 0 else (h[: len(own)] ^ (h[: len(own)] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + own
+            mixed = (h[:PART] ^ (h[:PART] >> np.uint32(16))) * np.uint32(0xC2B2AE35)
+            out.append((mixed >> np.uint32(32 - BITS)) + np.uint32(n << BITS))
+        yield np.concatenate(out)
 
 
 def has_letter(text: str | None) -> bool:
@@ -55,8 +58,8 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
             if has_letter(text):
                 at = sums.setdefault(lang, np.zeros(ORDERS << BITS, np.int64))
-                for i in range(0, len(text), PART):
-                    at += np.bincount(buckets(text[i : i + PART]), minlength=ORDERS << BITS)
+                for rows in buckets(text):
+                    at += np.bincount(rows, minlength=ORDERS << BITS)
     for lang, at in sums.items():
         full = np.flatnonzero(at)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(at[full])], ["lang", "bucket", "n"])
@@ -65,15 +68,13 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in code point order, and the matrix: row by bucket, column by language."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out("doc_id"))
-    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    names = [r["lang"] for r in langs]
+    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs")).orderBy(F.desc("n_docs"), "lang").limit(MAX_LANGS).collect()
+    names = sorted(r["lang"] for r in langs)
     if not names:
         return [], np.zeros((ORDERS << BITS, 0), np.float32)
     share = F.element_at(F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, max_docs / r["n_docs"]))]), F.col("lang"))
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
-    sample = known.where(u < share).select("text", "lang")
+    sample = known.where(F.coalesce(u < share, F.lit(False))).select("text", "lang")
     sums = sample.mapInArrow(count_buckets, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((ORDERS << BITS, len(names)))
     at = {x: i for i, x in enumerate(names)}
@@ -89,9 +90,9 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndar
 
 def log_odds(text: str, matrix: np.ndarray) -> np.ndarray:
     total = np.zeros(matrix.shape[1])
-    for i in range(0, len(text), PART):
+    for found in buckets(text):
         # Counting first keeps the gather as small as the number of different buckets.
-        rows, n = np.unique(buckets(text[i : i + PART]), return_counts=True)
+        rows, n = np.unique(found, return_counts=True)
         total += n.astype(np.float32) @ matrix[rows]
     return total
 
@@ -110,7 +111,7 @@ def score_batch(texts: list[str | None], names: list[str], matrix: np.ndarray) -
         if len(own) == 1 and chars > PART:
             sums = log_odds(texts[own[0]], matrix)[None]
         else:
-            parts = [buckets(texts[i]) for i in own]
+            parts = [np.concatenate(list(buckets(texts[i]))) for i in own]
             at = np.cumsum([0, *map(len, parts)])[:-1]
             sums = np.add.reduceat(matrix[np.concatenate(parts)], at, axis=0, dtype=np.float64)
         top = sums.argmax(axis=1)  # the first of equals: code point order

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import WORD, stage, table
 
 CAP = 3.0
+#: The state of so many sources is broadcast in a Newton step; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 #: Classes of documents with one source and size are ranked whole up to this count, in salted parts beyond it.
 WHOLE_CLASS = 4096
 
@@ -66,8 +68,9 @@ def balance(hist: DataFrame, goal: DataFrame, tolerance: float = 1e-10, most: in
     """src, lam: the dual's solution, by safeguarded Newton steps on aggregates of hist."""
     fixed = F.col("target") >= CAP * F.col("source_size")
     state = goal.select("src", "mean", "target", F.when(fixed, F.lit(None)).otherwise(F.lit(0.0)).cast("double").alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    few = goal.count() <= BROADCAST_SOURCES
     for _ in range(most):
-        s = F.broadcast(state) if goal.count() <= 10_000 else state
+        s = F.broadcast(state) if few else state
         x = F.col("size") / F.col("mean")
         w = rate(F.col("lam"), x)
         tokens = F.col("n") * F.col("size")

@@ -1,0 +1,111 @@
+"""Toxicity and language identification: held-out accuracy, awkward rows."""
+
+import random
+
+import numpy as np
+import pytest
+
+from quarry.llm import langid, toxicity
+from tests.llm.helpers import awkward, docs, held_out
+
+WORDS = {
+    "aa": [f"{a}{b}" for a in ("ta", "ro", "mi", "ku") for b in ("na", "lo", "ri", "so", "te")],
+    "bb": [f"{a}{b}" for a in ("sch", "ung", "ver", "pf") for b in ("eit", "ach", "end", "er", "ich")],
+}
+BAD = ["zork", "blarg", "fnordling"]
+
+
+def corpus(n=400):
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(n):
+        lang = "aa" if i % 3 else "bb"
+        words = [rng.choice(WORDS[lang]) for _ in range(rng.randrange(20, 90))]
+        toxic = int(i % 5 == 2)
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(BAD))
+        rows.append((i, " ".join(words), lang, "s", 1))
+        labels.append((i, 1, toxic))
+    return rows, labels
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame(corpus()[1] + [(9999, 1, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark, labels):
+    rows, known = corpus()
+    got = {r.doc_id: r for r in toxicity.toxicity(docs(spark, rows), labels).collect()}
+    assert len(got) == len(rows)
+    truth = {i: t for i, _, t in known}
+    for r in got.values():
+        assert r.held_out == held_out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    hidden = [i for i in got if held_out(i)]
+    assert np.mean([got[i].predicted == truth[i] for i in hidden]) > 0.97
+
+
+def test_toxicity_reads_no_hints(spark, labels):
+    rows, _ = corpus(200)
+    model = toxicity.train(docs(spark, corpus()[0]), labels)
+    one = {r.doc_id: r.score for r in toxicity.score(docs(spark, rows), model).collect()}
+    two = {r.doc_id: r.score for r in toxicity.score(docs(spark, [(i + 1000, t, "zz", "q", 0) for i, t, *_ in rows]), model).collect()}
+    assert all(one[i] == two[i + 1000] for i in one)
+
+
+def test_toxicity_awkward(spark, labels):
+    model = toxicity.train(docs(spark, corpus()[0]), labels)
+    got = toxicity.score(docs(spark).selectExpr("*", "1 as score", "2 as held_out2"), model).collect()
+    assert len(got) == len(awkward()) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (4, 5, 6)}) == 1
+    assert toxicity.toxicity(docs(spark, []), labels).count() == 0
+    none = toxicity.toxicity(docs(spark, corpus()[0][:20]), labels.where("false"))
+    assert none.where("predicted = 0").count() == 20
+
+
+def test_keep_clean(spark, labels):
+    df = docs(spark, corpus()[0]).selectExpr("*", "1 as score")
+    out = toxicity.keep_clean(df, labels)
+    assert out.columns == df.columns
+    model = toxicity.train(df, labels)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in toxicity.score(df, model).where("predicted = 0").collect())
+
+
+def test_ratio_by_hand():
+    model = {"words": {"bad": 2.0, "good": -0.5}, "stems": {"badly": 1.0}, "pairs": {("so", "bad"): 3.0}}
+    assert toxicity.mean_ratio("Bad, so bad! badlyish good", model) == pytest.approx((2.0 + 0 + 3.0 + 1.0 - 0.5) / (5 + toxicity.FIRM))
+    assert toxicity.mean_ratio("", model) == toxicity.mean_ratio(" ... ", model) == 0.0
+
+
+def test_langid(spark):
+    rows, _ = corpus()
+    got = langid.language_id(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert np.mean([r.lang_pred == ("aa" if r.doc_id % 3 else "bb") for r in got if held_out(r.doc_id)]) == 1.0
+    assert all(0 <= r.score <= 1 and r.held_out == held_out(r.doc_id) for r in got)
+
+
+def test_langid_awkward(spark):
+    got = {r.doc_id: r for r in langid.language_id(docs(spark).selectExpr("*", "1 as score", "2 as n", "3 as bucket")).collect()}
+    for i in (4, 5, 6, 12):
+        assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+    assert got[9].lang_pred in ("en", "de", "fr", "")
+    assert langid.language_id(docs(spark, [])).count() == 0
+    assert {r.lang_pred for r in langid.language_id(docs(spark, [(1, "abc", None, None, None)])).collect()} == {"und"}
+
+
+def test_langid_batches_and_parts_agree(monkeypatch):
+    names, matrix = ["x", "y"], np.log(np.random.default_rng(0).random((langid.ORDERS << langid.BITS, 2)) + 0.1).astype(np.float32)
+    texts = ["hello there", None, "a", "", "some words " * 50, "123"]
+    one = langid.score_batch(texts, names, matrix)
+    brute = {t: np.concatenate(list(langid.buckets(t))) for t in texts if t}
+    monkeypatch.setattr(langid, "PART", 5)
+    for t, rows in brute.items():
+        assert sorted(np.concatenate(list(langid.buckets(t)))) == sorted(rows)
+    for k, t in enumerate(texts):
+        pred, score = langid.score_batch([t], names, matrix)
+        assert pred[0] == one[0][k] and abs(score[0] - one[1][k]) < 1e-4
+        if langid.has_letter(t):
+            assert pred[0] == names[int(matrix[brute[t]].astype(float).sum(axis=0).argmax())]
+        else:
+            assert (pred[0], score[0]) == ("und", 0.0)
