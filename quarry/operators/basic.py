@@ -79,16 +79,20 @@ def _floating(kind: T.DataType) -> bool:
     return isinstance(kind, (T.FloatType, T.DoubleType))
 
 
+def condition(df: DataFrame, *comparisons: Comparison) -> Column:
+    """All comparisons together, for a DataFrame of distinct names."""
+    out = F.lit(True)
+    for k, c in enumerate(comparisons):
+        floating = _floating(field_of(df, c.attribute).dataType) or (c.other is not None and _floating(field_of(df, c.other).dataType))
+        own = compare(column(df, c.attribute), c.op, F.lit(c.value) if c.other is None else column(df, c.other), floating)
+        out = own if k == 0 else out & own
+    return out
+
+
 def select(df: DataFrame, *comparisons: Comparison) -> DataFrame:
     """Rows for which all comparisons hold."""
     df = distinct_columns(df)
-    for c in comparisons:
-        kind = field_of(df, c.attribute).dataType
-        if c.other is None:
-            df = df.where(compare(column(df, c.attribute), c.op, F.lit(c.value), _floating(kind)))
-        else:
-            df = df.where(compare(column(df, c.attribute), c.op, column(df, c.other), _floating(kind) or _floating(field_of(df, c.other).dataType)))
-    return df
+    return df.where(condition(df, *comparisons))
 
 
 def sort(df: DataFrame, criteria: list[tuple[Attribute, bool]]) -> DataFrame:

@@ -104,6 +104,24 @@ def _index_lookup_char(spark, sf_dir):
     return O.index_lookup(table(spark, sf_dir, "supplier"), "s_name", "Supplier#000000000")
 
 
+@add("index_scan_resolve", "select * from orders where o_orderkey = 7")
+def _index_scan(spark, sf_dir):
+    rows = O.table_scan(spark, f"{sf_dir}/orders.parquet", with_ids=True)
+    return O.resolve(O.index_scan(rows, "o_orderkey", 7), rows)
+
+
+@add("record_upsert", "select n_nationkey, case when n_nationkey < 5 then upper(n_name) || '!' else n_name end as n_name, n_regionkey from nation union all select 99, 'NEW', 1")
+def _upsert(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    new = nation.where("n_nationkey < 5").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!")))
+    return O.upsert(nation, new.union(spark.createDataFrame([(99, "NEW", 1)], "a int, b string, c int")), "n_nationkey")
+
+
+@add("record_erase", "select * from customer where c_custkey not in (select o_custkey from orders)")
+def _erase(spark, sf_dir):
+    return O.erase(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select("o_custkey"), "c_custkey")
+
+
 # Joins
 
 add_dialect("hash_join", "select n_nationkey, n_name, c_custkey, c_nationkey from nation, customer where n_nationkey = c_nationkey")
@@ -166,6 +184,12 @@ def _sort_external(spark, sf_dir):
     return O.sort(df, [("l_partkey", False), ("l_suppkey", True)])
 
 
+@add("sort_unsigned", "select x, cast(row_number() over (order by x < 0, x) as integer) as pos from (select p_partkey * case when p_partkey % 2 = 0 then -1 else 1 end as x from part)")
+def _sort_unsigned(spark, sf_dir):
+    x = F.col("p_partkey") * F.when(F.col("p_partkey") % 2 == 0, -1).otherwise(1)
+    return _positions(O.sort_unsigned(table(spark, sf_dir, "part").select(x.alias("x")), "x"))
+
+
 # Aggregation
 
 
@@ -246,6 +270,16 @@ def _insert(spark, sf_dir):
     return db.query("select * from t")
 
 
+@add("sql_erase_upsert", "select n_nationkey, n_name from nation where n_regionkey <> 2 and n_nationkey <> 3 union all select 3, 'THREE'")
+def _change(spark, sf_dir):
+    db, _ = _database(spark)
+    db.execute("create table t (k int, name char(25), region int, primary key (k))")
+    db.upsert("t", table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    db.erase("t", Comparison("region", "eq", 2))
+    db.upsert("t", spark.createDataFrame([(3, "THREE", 0)], "a int, b string, c int"))
+    return db.query("select k, name from t").toDF("n_nationkey", "n_name")
+
+
 # Grouping and ordering in the dialect
 
 add_dialect(

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.catalog import Catalog, Index, Store, Table
-from quarry.operators import print_text
-from quarry.operators.basic import quoted
+from quarry.operators import Comparison, print_text, upsert
+from quarry.operators.basic import condition, quoted
 from quarry.sources.csv import read_csv, resolve
 from quarry.sql import nodes as N
 from quarry.sql.binder import Binder, Columns, literal_mismatch
@@ -182,6 +182,42 @@ class Session:
         for key in [k for k in self._pending_keys if k[0] == name]:
             del self._pending_keys[key]
 
+    # Changes beyond the dialect: the table is written anew and its old files go once the catalog names the new ones
+
+    def erase(self, name: str, *comparisons: Comparison) -> None:
+        """Remove the rows for which all comparisons hold."""
+        t, rows = self._changed(name)
+        self._rewrite(t, rows.where(~condition(rows, *comparisons)))
+
+    def upsert(self, name: str, rows: DataFrame) -> None:
+        """Put rows in by position; a row takes the place of the one with its key, which must be of one column and unique in rows."""
+        t, old = self._changed(name)
+        if len(t.key) != 1:
+            raise BindError(f"table `{name}` has no key of one column")
+        raw = rows.select(*[F.col(quoted(c)).cast("string").alias(f"c{i}") for i, c in enumerate(rows.columns)])
+        if len(raw.columns) != len(t.columns):
+            raise BindError(f"table `{name}` has {len(t.columns)} columns, got {len(raw.columns)}")
+        new = self._coerced(t, raw.na.fill(""))
+        self._check_repeats(new, name, t.key[0])
+        merged = upsert(old, new, t.key[0])
+        for i in t.indexes[1:]:
+            self._check_repeats(merged, name, i.column)
+        self._rewrite(t, merged)
+
+    def _changed(self, name: str) -> tuple[Table, DataFrame]:
+        t = self._table(name)
+        if t is None:
+            raise BindError(f"no such table `{name}`")
+        self._flush(name)
+        return t, self._stored(t)
+
+    def _rewrite(self, t: Table, rows: DataFrame) -> None:
+        old, new = t.folder, f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.catalog.store.root}/{new}")
+        t.folder = new
+        self.catalog.save()
+        self.catalog.store.delete(old)
+
     def _copy(self, tree: N.Copy) -> str:
         t = self._table(tree.table)
         if t is None:

@@ -3,6 +3,7 @@
 import pytest
 
 from quarry.cli import main
+from quarry.operators import Comparison
 from quarry.session import Session
 from quarry.sql import nodes as N
 from quarry.sql.errors import BindError, CSVError, DuplicateKey, DuplicateTable, LexError, ParseError
@@ -190,6 +191,20 @@ def test_composite_key_is_not_enforced(school):
     assert school.execute("insert into hoeren values (24002, 5001)") == "INSERT 1\n"
 
 
+def test_erase_and_upsert(spark, tmp_path):
+    with Session(spark, f"{tmp_path}/db") as db:
+        db.execute("create table t (a int, b char(3), primary key (a))")
+        for a, b in ((1, "x"), (2, "y"), (3, "y")):
+            db.execute(f"insert into t values ({a}, '{b}')")
+        db.upsert("t", spark.createDataFrame([(3, "zzzz"), (4, None)], "k long, v string"))
+        db.erase("t", Comparison("b", "eq", "y"))
+        assert lines(db.execute("select * from t")) == ["1,x", "3,zzz", "4,"]
+        with pytest.raises(DuplicateKey):
+            db.upsert("t", spark.createDataFrame([(5, "a"), (5, "b")], "k long, v string"))
+    with Session(spark, f"{tmp_path}/db") as db:
+        assert lines(db.execute("select a from t")) == ["1", "3", "4"]
+
+
 def test_registered_frames(spark):
     s = Session(spark)
     s.register("t", spark.createDataFrame([(1, 1.5, True)], "a long, d double, b boolean"))
