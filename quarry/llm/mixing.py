@@ -29,7 +29,7 @@ CAP = 3.0
 #: The state of so many sources is broadcast in a Newton step; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: Classes of documents with one source and size are ranked whole up to this count, in salted parts beyond it.
-WHOLE_CLASS = 4096
+WHOLE_CLASS = 256
 
 
 def sizes(docs: DataFrame) -> DataFrame:
