@@ -42,6 +42,8 @@ MAX_GRAMS = 300_000
 RARE = 5
 #: A bigram enters the model from this count on.
 LEAST_BIGRAM = 25
+#: A task sends its trigram types on when it holds so many.
+TYPES_AT_ONCE = 200_000
 FIRM = 20
 #: Letters of the stem by which words without a ratio of their own are judged.
 STEM = 5
@@ -65,7 +67,7 @@ def gram_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
             words = _words(text.lower())
             seen[label].update(zip(["", "", *words[:-2]], ["", *words[:-1]], words))  # noqa: B905
-            if len(seen[0]) + len(seen[1]) > 500_000:
+            if len(seen[0]) + len(seen[1]) > TYPES_AT_ONCE:
                 yield from flush()
     yield from flush()
 
