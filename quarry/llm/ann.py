@@ -144,7 +144,8 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asked = asked.select("vec_id", "embedding", "dim", "n_blocks", F.pmod(F.shiftright(mark, 20), F.col("n_parts")).alias("part"))
     queries = stage(asked.groupBy("dim", "part").applyInArrow(pack_queries, "q_dim int, part long, n_blocks long, own binary, asked binary"), "queries")
     met = queries.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).drop("n_blocks")
-    pairs = index.join(met, (F.col("dim") == F.col("q_dim")) & (F.col("block") == F.col("q_block")))
+    n = max(1, index.count())  # a partition for each block: blocks move once, and the small query parts to each of them
+    pairs = index.repartition(n, "dim", "block").join(met.repartition(n, "q_dim", "q_block").hint("merge"), (F.col("dim") == F.col("q_dim")) & (F.col("block") == F.col("q_block")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +160,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     out[2].append(scores)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
-    best = pairs.repartition("block", "part").mapInArrow(search, "query_id long, vec_id long, score double")
+    best = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))  # k rows of each block
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

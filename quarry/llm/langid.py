@@ -28,7 +28,7 @@ ALPHA = 0.5
 MAX_DOCS = 3000
 PART = 1 << 18
 #: The model holds so many languages at most, those of the most documents.
-MAX_LANGS = 1000
+MAX_LANGS = 200
 _letter = re.compile(r"[^\W\d_]").search
 _gaps = re.compile(r"[\W\d_]+").sub
 
