@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -38,6 +39,7 @@ from quarry.llm.encoding import parts
 
 SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Words in either of the two tables that a worker process keeps.
 MOST_WORDS = 400_000
 _split = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n").findall
 _known: dict[str, Encoder] = {}
@@ -151,15 +153,20 @@ class Encoder:
     def __init__(self, path: str):
         self.path = path
         self.model = read_model(path)
-        self.tokenizer = build(self.model)
         self.plain = not self.model.charsmap and not self.model.remove_extra_spaces and all(SPACE_MARK not in p.lstrip(SPACE_MARK) and "\n" not in p for p, _, k in self.model.pieces if k not in (CONTROL, UNKNOWN, BYTE)) and self.model.kind == 2 and self.model.byte_fallback
-        self.words = build(self.model)
-        self.words.normalizer = None
+        self.words = build(self.model) if self.plain else None
+        if self.words:
+            self.words.normalizer = None
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bytes_of = [self._piece_bytes(p, k) for p, _, k in self.model.pieces]
         self.original = None
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The whole tokenizer, with its normaliser and decoder."""
+        return build(self.model)
+
     @staticmethod
     def of(path: str) -> Encoder:
         if path not in _known:
