@@ -114,8 +114,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with the columns of docs."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_quarry_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_quarry_kept")), "left_semi")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

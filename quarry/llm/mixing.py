@@ -152,6 +152,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def take_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The rows of docs as often as mix takes them, with the columns of docs. Rows that repeat an id share its copies evenly."""
-    shares = mix(docs, weights).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    taken = docs.join(shares, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    own = "_quarry_id", "_quarry_copies", "_quarry_copy"
+    shares = mix(docs, weights).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias(own[1])).where(F.col(own[1]) > 0).withColumnRenamed("doc_id", own[0])
+    taken = docs.join(shares, docs["doc_id"].eqNullSafe(F.col(own[0])))
+    return taken.withColumn(own[2], F.explode(F.array_repeat(F.lit(0), F.col(own[1])))).drop(*own)

@@ -152,8 +152,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_dedup keeps, with the columns of docs."""
-    dropped = near_dedup(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped_id"), "left_anti")
+    dropped = near_dedup(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_quarry_dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col("_quarry_dropped"), "left_anti")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Toxicity: class-conditional Kneser-Ney models compared by length-normalised log-likelihood.
 
-Two models of word pairs, one of toxic and one of ordinary labelled text, share their last backoff: the
-share of bigram contexts (continuation counts) a word has in both classes together. For class c
+Two models of word pairs, one of toxic and one of ordinary labelled text, share their last backoff:
+a word's part of what discounting takes from the continuation counts of both classes. For class c
 
     P_c(w | v) = (1 - back(v)) * max(n_c(v w) - D, 0) / N_c(v) + back(v) * P_c(w)
     P_c(w)     = (1 - back)    * max(k_c(w) - D, 0)   / K_c    + back    * P_shared(w)
+    P_shared(w) ~ min(k_toxic(w), D) + min(k_ordinary(w), D)
 
 where n_c(v w) counts the trigram types that end in v w and k_c(w) the bigram types that end in w
 (so a passage that stands in many copies counts once), N and K sum the discounted counts, and the
@@ -14,9 +15,10 @@ both classes agree, and an unseen word or pair favours neither class. Before tha
 model backs off to its stem, its first STEM letters, estimated like a word. A log ratio,
 log P_toxic - log P_ordinary, counts as far as it exceeds a shift and two standard errors: classes
 differ in their mix of subjects and languages, which shifts many common words a little and would
-drown the few that tell. A document's figure is its sum of log ratios, divided by its words and FIRM more, which keeps very
-short texts from being judged by one word. A logistic curve fitted on labelled documents left out of
-the counts turns that into a probability.
+drown the few that tell. A document's figure is its sum of log ratios, divided by its words and FIRM
+more, which keeps very short texts from being judged by one word. A logistic curve over that figure
+or over its logarithm, whichever fits labelled documents left out of the counts better, turns it into
+a probability.
 
 Models are fitted on a bounded sample of labelled rows: at most ``max_docs`` of each class, those
 with the smallest hash of their id. A quarter of them is left out of the counts and fits the curve.
@@ -91,22 +93,24 @@ def fit_counts(grams: DataFrame, max_grams: int = MAX_GRAMS) -> dict:
     of = lambda x, c: F.sum(F.when(F.col("label") == c, x).otherwise(0))
     over = lambda x: F.greatest(F.col(x) - RARE, F.lit(0))
     types = grams.groupBy("w").agg(of(F.lit(1), 0).alias("k0"), of(F.lit(1), 1).alias("k1"))
-    sums = types.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(f"x{i}") for i, x in enumerate((over("k0"), over("k1"), F.col("k0") + F.col("k1")))]).first()
-    mass, everything = (sums["x0"], sums["x1"]), sums["x2"]
+    under = F.least(F.col("k0"), F.lit(RARE)) + F.least(F.col("k1"), F.lit(RARE))
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(f"x{i}") for i, x in enumerate((over("k0"), over("k1"), under))]
+    got = types.agg(*sums).first()
+    mass, freed = (got["x0"], got["x1"]), got["x2"]
     if not all(mass):
         return {"words": {}, "stems": {}, "pairs": {}}
-    back = 1 - (mass[0] + mass[1]) / everything
+    back = freed / (mass[0] + mass[1] + freed)
     kept = types.where(F.greatest("k0", "k1") > RARE).orderBy(F.desc(F.col("k0") + F.col("k1")), "w").limit(max_grams // 2).collect()
-    lower = lambda k, c: (1 - back) * max(k[c] - RARE, 0) / mass[c] + back * (k[0] + k[1]) / everything
+    lower = lambda k, c: (1 - back) * max(k[c] - RARE, 0) / mass[c] + back * (min(k[0], RARE) + min(k[1], RARE)) / freed
     uni = {r["w"]: (lower((r["k0"], r["k1"]), 0), lower((r["k0"], r["k1"]), 1)) for r in kept}
 
     stems = types.where(F.length("w") > STEM).groupBy(F.substring("w", 1, STEM).alias("w")).agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
-    held = stems.agg(F.sum(over("k0")).alias("x0"), F.sum(over("k1")).alias("x1"), F.sum(F.col("k0") + F.col("k1")).alias("x2")).first()
+    held = stems.agg(*sums).first()
     stem_ratio = {}
     if held["x0"] and held["x1"]:
-        rest = 1 - (held["x0"] + held["x1"]) / held["x2"]
+        rest = held["x2"] / (held["x0"] + held["x1"] + held["x2"])
         for r in stems.where(F.greatest("k0", "k1") > RARE).orderBy(F.desc(F.col("k0") + F.col("k1")), "w").limit(max_grams // 2).collect():
-            p = [(1 - rest) * max(r[f"k{c}"] - RARE, 0) / held[f"x{c}"] + rest * (r["k0"] + r["k1"]) / held["x2"] for c in (0, 1)]
+            p = [(1 - rest) * max(r[f"k{c}"] - RARE, 0) / held[f"x{c}"] + rest * (min(r["k0"], RARE) + min(r["k1"], RARE)) / held["x2"] for c in (0, 1)]
             if x := clear_ratio(p[1], p[0], r["k0"] + r["k1"]):
                 stem_ratio[r["w"]] = x
 
@@ -141,28 +145,40 @@ def mean_ratio(text: str, model: dict) -> float:
     return total / (len(words) + FIRM)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, classes weighted to the share of toxic labels; Newton with a small ridge."""
+def scaled(x: np.ndarray, log: bool) -> np.ndarray:
+    """The figure as it is, or on a logarithmic scale that is even around 0 and nearly linear below 0.001."""
+    return np.copysign(np.log1p(1000 * np.abs(x)), x) if log else x
+
+
+def probability(x: np.ndarray, model: dict) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model["slope"] * scaled(np.asarray(x, float), model["log"]) + model["offset"], -700, 700)))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> dict:
+    """Scale, slope and offset of a logistic curve, classes weighted to the share of toxic labels; Newton with a small ridge."""
     if len(x) == 0 or y.min() == y.max():
-        return 30.0, -1.0
-    scale = max(float(np.std(x)), 1e-6)
-    z = np.column_stack([x / scale, np.ones(len(x))])
+        return {"log": False, "slope": 300.0, "offset": -3.0}
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    b = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        ridge = np.diag([1e-2, 1e-3])
-        grad = z.T @ (weight * (p - y)) + ridge @ b
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        b = b - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(float(b[0] / scale), 1e-3), float(b[1])
+    found = []
+    for log in (False, True):
+        own = scaled(x, log)
+        scale = max(float(np.std(own)), 1e-6)
+        z, b, ridge = np.column_stack([own / scale, np.ones(len(own))]), np.zeros(2), np.diag([1e-2, 1e-3])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            grad = z.T @ (weight * (p - y)) + ridge @ b
+            hess = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(2)
+            step = np.linalg.solve(hess, grad)
+            b = b - np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        loss = float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (z @ b))).sum())
+        found.append((loss, {"log": log, "slope": max(float(b[0] / scale), 1e-3), "offset": float(b[1])}))
+    return min(found, key=lambda f: f[0])[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> dict:
-    """The fitted model: tables of log ratios, slope and offset of the curve."""
+    """The fitted model: tables of log ratios, and the curve."""
     spark = docs.sparkSession
     rows = stage(training_rows(docs, labels, max_docs), "toxic-train")
     # 2 * max_docs ids at most.
@@ -178,8 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_gram
 
     got = texts.where("fold = 0").select("label", "text").mapInArrow(figures, "label int, x double").collect()  # max_docs numbers or so
     share = labels.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).when(F.col("toxic") == 0, 0.0))).first()[0]
-    slope, offset = fit_curve(np.array([r["x"] for r in got]), np.array([r["label"] for r in got]), min(max(share or 0.5, 0.01), 0.99))
-    return model | {"slope": slope, "offset": offset}
+    curve = fit_curve(np.array([r["x"] for r in got]), np.array([r["label"] for r in got]), min(max(share or 0.5, 0.01), 0.99))
+    return model | curve
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -190,7 +206,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         for b in batches:
             x = np.array([mean_ratio(t or "", m) for t in b["text"].to_pylist()], float)
-            p = 1 / (1 + np.exp(-np.clip(m["slope"] * x + m["offset"], -700, 700)))
+            p = probability(x, m)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -220,6 +236,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([m["slope"] * mean_ratio(t or "", m) + m["offset"] < 0 for t in b["text"].to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(probability([mean_ratio(t or "", m) for t in b["text"].to_pylist()], m) < 0.5))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -71,7 +71,7 @@ def test_large_class_is_ranked_in_parts(spark, monkeypatch):
 
 
 def test_take_copies(spark):
-    df = docs(spark, many()).selectExpr("*", "1 as size", "2 as copies", "3 as _x")
+    df = docs(spark, many()).selectExpr("*", "1 as size", "2 as copies", "3 as _id", "4 as `a.b`")
     out = take_copies(df)
     assert out.columns == df.columns
     want = {r.doc_id: r.copies for r in mix(docs(spark, many())).collect() if r.copies}
