@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def session(spark: SparkSession, sf_dir: str) -> Session:
     out = Session(spark)
     for name in TABLES:
-        out.register(name, table(spark, sf_dir, name))
+        out.register(name, lambda name=name: table(spark, sf_dir, name))
     return out
 
 

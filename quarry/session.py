@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,20 @@ class Session:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.catalog = Catalog(Store(spark, resolve(root))) if root else None
-        self.views: dict[str, DataFrame] = {}
+        self.views: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._pending: dict[str, list[tuple[str, ...]]] = {}
         self._pending_keys: dict[tuple[str, str], set] = {}
 
-    def register(self, name: str, df: DataFrame) -> None:
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """Make a DataFrame a relation; a function is called when a query first names it."""
         self.views[name] = df
 
+    def _view(self, name: str) -> DataFrame | None:
+        df = self.views.get(name)
+        if df is not None and not isinstance(df, DataFrame):
+            df = self.views[name] = df()
+        return df
+
     def query(self, text: str) -> DataFrame:
         """The DataFrame of a SELECT statement."""
         tree = parse(text)
@@ -74,13 +82,13 @@ class Session:
     def _columns(self, name: str) -> Columns | None:
         if t := self._table(name):
             return t.columns
-        df = self.views.get(name)
+        df = self._view(name)
         return None if df is None else [(f.name, engine_type(f)) for f in df.schema.fields]
 
     def _frame(self, name: str) -> DataFrame:
         t = self._table(name)
         if t is None:
-            return self.views[name]
+            return self._view(name)
         self._flush(name)
         return self._stored(t)
 
