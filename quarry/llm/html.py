@@ -9,11 +9,13 @@ not in a deeper one, is a slot.
 1. One pass counts tokens: pages, occurrences, and a fingerprint of the vector (the sum of a page
    hash times the count, which is equal for equal vectors), with figures on the text directly in
    each element. Tasks combine before anything is sent, so a host with many pages is no burden.
-2. For each host the classes are formed and every slot is judged: navigation and the like by name,
-   constant text, link lists; an article or main element makes the slots outside it irrelevant.
-   Hosts with few pages share one pooled template.
-3. A second pass takes each page's text from the slots that are kept. Elements that aren't in the
-   template belong to the slot around them, unless their own name says otherwise.
+2. For each host the classes are formed, those of each layout too, and every slot is judged:
+   navigation and the like by name, constant text, link lists; an article or main element makes the
+   slots outside it irrelevant. Inside it a slot is template text when it is constant, and a block of
+   a slot of links when it is links itself. Hosts with few pages share one pooled template.
+3. A second pass takes each page's text from the slots that are kept. Outside main text elements that
+   aren't in the template belong to the slot around them, unless their own name says otherwise. A page
+   whose main text would go whole is a repeated page, not a template, and keeps it.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ from quarry.llm.common import stage, table
 MIN_PAGES = 8
 #: A token is frequent on a host from this share of its pages on.
 SUPPORT = 0.5
-#: Templates of so many hosts are broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 5000
+#: So is one of a layout, from MIN_PAGES pages and this share on; a host has so at most 1000 times the paths of a page.
+LAYOUT = 0.001
+#: Links are a slot's text from this share of its letters on, outside and inside main text.
+LINKED, INNER_LINKED = 0.6, 0.9
+#: Templates of so many hosts, with so many paths, are broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS, BROADCAST_PATHS = 5000, 500_000
 
 _token = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""",
@@ -62,6 +68,7 @@ DROP_WORDS = frozenset(
     popup modal overlay skip print copyright legal complementary contentinfo""".split()
 )
 MAIN_WORDS = frozenset("main articlebody".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
 
@@ -161,14 +168,14 @@ def host_of(url: str | None) -> str:
 
 
 def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token figures by host and path of what one task reads: pages, occurrences, fingerprint, text and link characters, least and greatest text hash."""
+    """Token figures by host and path of what one task reads: pages, occurrences, fingerprint, characters of text, links and main text, pages with text, least and greatest hash of their text."""
     seen: dict[tuple[str, str], list] = {}
 
     def flush() -> pa.RecordBatch:
         rows = [(*k, *v) for k, v in seen.items()]
         seen.clear()
-        kinds = (pa.string(), pa.string(), *[pa.int64()] * 7)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "path", "pages", "n", "print", "chars", "links", "lo", "hi"])
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 9)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "path", "pages", "n", "print", "chars", "links", "inner", "filled", "lo", "hi"])
 
     for b in batches:
         for i in range(len(b)):
@@ -178,78 +185,106 @@ def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in page.opened:
                 counts[path] = counts.get(path, 0) + 1
             texts: dict[str, list] = {}
-            for path, _, _, link, text, _ in page.runs:
-                t = texts.setdefault(path, [0, 0, 0])
-                own = text.strip()
+            for path, dropped, in_main, link, text, _ in page.runs:
+                if dropped or not (own := text.strip()):
+                    continue
+                t = texts.setdefault(path, [0, 0, 0, 0])
                 t[0] += len(own)
                 t[1] += len(own) if link else 0
-                t[2] = zlib.crc32(own.encode("utf-8", "replace"), t[2])
+                t[2] += len(own) if in_main else 0
+                t[3] = zlib.crc32(own.encode("utf-8", "replace"), t[3])
             for path, n in counts.items():
-                chars, links, text_hash = texts.get(path, (0, 0, 0))
+                t = texts.get(path)
+                chars, links, inner, text_hash = t or (0, 0, 0, None)
                 s = seen.get((host, path))
                 if s is None:
-                    seen[host, path] = [1, n, mark * n, chars, links, text_hash, text_hash]
-                else:
-                    s[0] += 1
-                    s[1] += n
-                    s[2] += mark * n
-                    s[3] += chars
-                    s[4] += links
-                    s[5], s[6] = min(s[5], text_hash), max(s[6], text_hash)
+                    seen[host, path] = [1, n, mark * n, chars, links, inner, int(t is not None), text_hash, text_hash]
+                    continue
+                for i, x in enumerate((1, n, mark * n, chars, links, inner)):
+                    s[i] += x
+                if t:
+                    s[6] += 1
+                    s[7], s[8] = (text_hash, text_hash) if s[7] is None else (min(s[7], text_hash), max(s[8], text_hash))
             if len(seen) > 200_000:
                 yield flush()
     yield flush()
 
 
 def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host: paths of its classes, those kept and whether any slot is the main text.
+    """The template of one host: paths of its classes, those kept, and those that hold links inside main text.
 
-    tokens: the frequent tokens only, so as many as a page of the host has, or twice that.
+    tokens: the frequent tokens only, so at most 1000 times as many as a page of the host has.
     """
     total = int(tokens["total"].iloc[0])
-    classes = {tuple(k): list(g["path"]) for k, g in tokens.groupby(["print", "pages"])}
-    large = {p for (_, pages), paths in classes.items() for p in paths if len(paths) > 1 or pages == total}
+    figures = {r.path: r for r in tokens.itertuples()}
+
+    def constant(r) -> bool:
+        return r.lo == r.hi and r.chars > 0 and (r.filled >= MIN_PAGES or (total >= MIN_PAGES and r.filled >= SUPPORT * total))
+
+    def linked(r) -> bool:
+        if r.inner:  # the links of headings point to what they head
+            return r.links > INNER_LINKED * r.chars and not any(step.split(".")[0] in HEADINGS for step in r.path.split("/"))
+        return r.chars > 0 and r.links > LINKED * r.chars
+
+    # A class is the template's if it has several tokens or every page, and a lone token if its text repeats or links.
+    sizes = tokens.groupby(["print", "pages"])["path"].transform("size")
+    large = {r.path for r, size in zip(tokens.itertuples(), sizes, strict=True) if size > 1 or r.pages == total or constant(r) or linked(r)}
     # Nesting: a path of the template needs its parents in it.
     template = {p for p in large if all(p[:i] in large for i, c in enumerate(p) if c == "/" and i)} | {""}
-    figures = {r.path: r for r in tokens.itertuples()}
-    kept, main = [], False
-    for p in sorted(template):
+    # Inside main text a slot is judged by its own text, whatever its parents' classes.
+    inner = {p for p in large if figures[p].inner}
+    kept, links = [], []
+    for p in sorted(template | inner):
         r = figures.get(p)
-        constant = r is not None and total >= MIN_PAGES and r.lo == r.hi and r.chars > 0
-        linked = r is not None and r.chars > 0 and r.links > 0.6 * r.chars
-        if any(step.split(".")[0] in ("article", "main") for step in p.split("/")):
-            main = True
-            kept.append(p)  # names and links inside are judged run by run
-        elif not constant and not linked:
+        if r is not None and linked(r) and r.inner and not constant(r):
+            links.append(p)
+        elif r is None or not (constant(r) or linked(r)):
             kept.append(p)
-    return pd.DataFrame({"group": [tokens["group"].iloc[0]], "template": [sorted(template)], "kept": [kept], "main": [main]})
+    return pd.DataFrame({"group": [tokens["group"].iloc[0]], "template": [sorted(template | inner)], "kept": [kept], "links": [links]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """group, template, kept, main: one row per host with MIN_PAGES pages, and one with group '' for the others together."""
-    seen = pages.select("page_id", "url", "html").mapInArrow(observe, "host string, path string, pages long, n long, print long, chars long, links long, lo long, hi long")
-    sums = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links")] + [F.sum(F.col("print").cast("decimal(38,0)")).alias("print"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    """group, template, kept, links: one row per host with MIN_PAGES pages, and one with group '' for the others together."""
+    seen = pages.select("page_id", "url", "html").mapInArrow(observe, "host string, path string, pages long, n long, print long, chars long, links long, inner long, filled long, lo long, hi long")
+    sums = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links", "inner", "filled")] + [F.sum(F.col("print").cast("decimal(38,0)")).alias("print"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     by_host = stage(seen.groupBy("host", "path").agg(*sums), "tokens")
     hosts = by_host.where("path = ''").select(F.col("host").alias("h"), F.when(F.col("pages") >= MIN_PAGES, F.col("host")).otherwise("").alias("group"))
-    again = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links", "print")] + [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    again = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links", "inner", "filled", "print")] + [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     tokens = stage(by_host.join(hosts, F.col("host") == F.col("h")).groupBy("group", "path").agg(*again), "group-tokens")
     total = tokens.where("path = ''").select(F.col("group").alias("g"), F.col("pages").alias("total"))
-    frequent = tokens.join(total, F.col("group") == F.col("g")).where(F.col("pages") >= SUPPORT * F.col("total"))
-    frequent = frequent.select("group", "path", "pages", "total", "chars", "links", "lo", "hi", F.col("print").cast("string").alias("print"))
-    return stage(frequent.groupBy("group").applyInPandas(deduce, "group string, template array<string>, kept array<string>, main boolean"), "templates")
+    frequent = tokens.join(total, F.col("group") == F.col("g")).where((F.col("pages") >= SUPPORT * F.col("total")) | ((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= LAYOUT * F.col("total"))))
+    frequent = frequent.select("group", "path", "pages", "total", "chars", "links", "inner", "filled", "lo", "hi", F.col("print").cast("string").alias("print"))
+    return stage(frequent.groupBy("group").applyInPandas(deduce, "group string, template array<string>, kept array<string>, links array<string>"), "templates")
 
 
-def extract(html: str, template: frozenset[str], kept: frozenset[str], main: bool) -> str:
+def extract(html: str, template: frozenset[str], kept: frozenset[str], links: frozenset[str] | bool = False) -> str:
+    """The main text of one page; links: slots of links inside main text, or False where there are none."""
     page = Page(html)
+    letters: dict[int, list[int]] = {}
+    for path, dropped, in_main, link, text, block in page.runs if links else ():
+        if in_main and not dropped and path in links:
+            n = letters.setdefault(block, [0, 0])
+            n[0] += len(text.strip())
+            n[1] += len(text.strip()) if link else 0
+
+    def cut(path: str, block: int) -> bool:
+        if block in letters:
+            return letters[block][1] > LINKED * letters[block][0]
+        return path in template and path not in kept and not (links and path in links)
+
     # A page may lack, or alone have, what its host's template says about main text.
     inside = any(r[2] for r in page.runs)
+    cutting = any(r[2] and not r[1] and r[4].strip() and not cut(r[0], r[5]) for r in page.runs)
     blocks: list[str] = []
     last, parts = -1, []
     slots: dict[str, bool] = {}
     for path, dropped, in_main, _, text, block in page.runs:
         if dropped or (inside and not in_main):
             continue
-        if not in_main:
+        if in_main:
+            if cutting and cut(path, block):
+                continue
+        else:
             ok = slots.get(path)
             if ok is None:
                 slot = path
@@ -284,9 +319,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     def result(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    none = (frozenset(), frozenset(), False)
-    if found.count() <= BROADCAST_HOSTS:
-        told = {r["group"]: (frozenset(r["template"]), frozenset(r["kept"]), r["main"]) for r in found.collect()}  # BROADCAST_HOSTS rows at most
+    none = (frozenset(), frozenset(), frozenset())
+    size = found.agg(F.count(F.lit(1)).alias("hosts"), F.coalesce(F.sum(F.size("template")), F.lit(0)).alias("paths")).first()
+    if size["hosts"] <= BROADCAST_HOSTS and size["paths"] <= BROADCAST_PATHS:
+        told = {r["group"]: (frozenset(r["template"]), frozenset(r["kept"]), frozenset(r["links"])) for r in found.collect()}  # BROADCAST_HOSTS rows and BROADCAST_PATHS paths at most
         shared = spark.sparkContext.broadcast(told)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +338,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     # Few pages each and many hosts: the pooled template travels as a value, the others by a join that Spark may split.
     pooled = found.where("group = ''").first()
-    pool = (frozenset(pooled["template"]), frozenset(pooled["kept"]), pooled["main"]) if pooled else none
+    pool = (frozenset(pooled["template"]), frozenset(pooled["kept"]), frozenset(pooled["links"])) if pooled else none
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)", 1))
     joined = pages.select("page_id", "url", "html", host.alias("_host")).join(found.where("group <> ''"), F.col("_host") == F.col("group"), "left")
 
@@ -311,11 +347,11 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for i in range(len(b)):
                 own = b["template"][i].as_py()
-                t = pool if own is None else (frozenset(own), frozenset(b["kept"][i].as_py()), b["main"][i].as_py())
+                t = pool if own is None else (frozenset(own), frozenset(b["kept"][i].as_py()), frozenset(b["links"][i].as_py()))
                 texts.append(extract(b["html"][i].as_py() or "", *t))
             yield result(b, texts)
 
-    return joined.select("page_id", "url", "html", "template", "kept", "main").mapInArrow(run_joined, schema)
+    return joined.select("page_id", "url", "html", "template", "kept", "links").mapInArrow(run_joined, schema)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,23 @@ def test_host():
 
 def test_page_paths():
     assert Page("<html><body><div class='a b1' id=c2><p>x").opened == ["/html", "/html/body", "/html/body/div.a b0.c0", "/html/body/div.a b0.c0/p"]
+
+
+@pytest.mark.parametrize("own", ["https://a.example.com/{}", "https://h{}.example.com/"])
+def test_template_inside_the_article(spark, own):
+    """Boilerplate without a telling name, on one host and on hosts of one page; a second layout on a fifth of the pages."""
+
+    def source(k):
+        links = "".join(f"<li><a href=/{k}{i}>Other story {k} {i}</a>" for i in range(3))
+        if k % 5 == 0:
+            return f"<main><div class=u><h1><a href=/{k}>Title {k}</a></h1><p>Body {k}.</p><div class=z>Ask us by letter</div></div></main>"
+        return f"<article><h1>Title {k}</h1><div class=q7>All words here are <b>ours</b></div><p>Body {k}, <a href=/x>with a link</a>.</p><ul class=q8>{links}</ul><ul><li>point {k}</ul></article>"
+
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame([(k, own.format(k), source(k)) for k in range(50)], SCHEMA)).collect()}
+    for k in range(50):
+        assert got[k] == (f"Title {k}\n\nBody {k}." if k % 5 == 0 else f"Title {k}\n\nBody {k}, with a link.\n\npoint {k}")
+
+
+def test_repeated_pages_keep_their_text(spark):
+    got = main_text(spark.createDataFrame([(k, f"https://a.example.com/{k}", "<article><h1>Same</h1><p>text</p></article>") for k in range(20)], SCHEMA)).collect()
+    assert [r.text for r in got] == ["Same\n\ntext"] * 20
