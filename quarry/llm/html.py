@@ -78,12 +78,20 @@ def element(tag: str, attributes: str) -> tuple[str, bool, bool]:
     if attributes:
         told = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _names.finditer(attributes)]
         if told:
-            words = {w.lower() for _, v in told for w in _words(v)}
-            main = main or bool(words & MAIN_WORDS)
-            drop = drop or (not main and tag not in ("html", "body") and bool(words & DROP_WORDS))
+            tokens = {(k, x) for k, v in told for x in v.lower().split()}
+            words = {w.lower() for _, v in told for w in _words(v)} & DROP_WORDS
+            if main or ("role", "main") in tokens or ("itemprop", "articlebody") in tokens:
+                main = not drop
+            elif tag not in ("html", "body"):
+                own = {x for k, x in tokens if k in ("class", "id")}
+                whole = bool(own & MAIN_WORDS)
+                main = whole and not words and not drop
+                # A word in a longer name, as in has-sidebar, doesn't drop what is named main as a whole.
+                drop = drop or (bool(words & {x for _, x in tokens}) if whole else bool(words))
             name = tag + "".join(f".{_digits.sub('0', v)}" for k, v in told if k in ("class", "id"))
-        drop = drop or bool(_hidden.search(attributes))
-    return name.replace("/", "|"), drop, main
+        if _hidden.search(attributes):
+            drop = True
+    return name.replace("/", "|"), drop, main and not drop
 
 
 class Page:
@@ -273,7 +281,7 @@ def extract(html: str, template: frozenset[str], kept: frozenset[str], links: fr
         return path in template and path not in kept and not (links and path in links)
 
     # A page may lack, or alone have, what its host's template says about main text.
-    inside = any(r[2] for r in page.runs)
+    inside = any(r[2] and not r[1] and r[4].strip() for r in page.runs)
     cutting = any(r[2] and not r[1] and r[4].strip() and not cut(r[0], r[5]) for r in page.runs)
     blocks: list[str] = []
     last, parts = -1, []

@@ -94,3 +94,15 @@ def test_template_inside_the_article(spark, own):
 def test_repeated_pages_keep_their_text(spark):
     got = main_text(spark.createDataFrame([(k, f"https://a.example.com/{k}", "<article><h1>Same</h1><p>text</p></article>") for k in range(20)], SCHEMA)).collect()
     assert [r.text for r in got] == ["Same\n\ntext"] * 20
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<body><nav class='main-navigation'><a>n</a></nav><div class=text><p>whole text</p></div>", "whole text"), ("<div class='main-menu'><a>n</a></div><div class=text>t</div>", "t"), ("<div class='main-menu'><a>n</a></div><article>t</article>", "t"),
+        ("<div id=main>m</div><p>o</p>", "m"), ("<div itemprop='articleBody'>m</div><p>o</p>", "m"), ("<div class='main menu'>n</div><p>o</p>", "o"), ("<div id=main class='has-sidebar'>m</div>", "m"), ("<main class='with-sidebar'>m</main><p>o</p>", "m"),
+        ("<article class='post comments-open'>m</article><p>o</p>", "m"), ("<article><nav>n</nav></article><p>o</p>", "o"), ("<nav><div role=main>n</div></nav><p>o</p>", "o"),
+    ],
+)
+def test_main_is_named_as_a_whole(source, want):
+    assert extract(source, *NONE) == want
