@@ -51,15 +51,20 @@ _names = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 _hidden = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _space = re.compile(r"[\x20\x09-\x0D]+")
 _digits = re.compile(r"\d+")
-_raw_end = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math")}
+_raw_end = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "annotation", "annotation-xml")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()) | frozenset(
+    # formulas and drawings: their text is text of the element around; the letters of a drawing are blocks
+    """annotation annotation-xml math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder
+    munderover semantics svg circle clippath defs desc ellipse filter foreignobject g image line lineargradient marker mask metadata path pattern polygon polyline radialgradient rect stop symbol
+    textpath tspan use""".split()
+)
 #: An opening tag of the key ends an open element of these, if none of the others is between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
-DROP_TAGS = frozenset("nav footer aside form button select option datalist dialog menu head object audio video canvas".split())
+DROP_TAGS = frozenset("nav footer aside form button select option datalist dialog menu head object audio video canvas defs desc metadata symbol".split())
 #: Words of classes, ids and roles that name what isn't article text.
 DROP_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promotions banner banners cookie cookies consent gdpr notice notices alert
@@ -67,21 +72,33 @@ DROP_WORDS = frozenset(
     respond share sharing social follow related recommended recommendations popular trending newsletter subscribe subscription signup login search pager pagination paginator widget widgets
     popup modal overlay skip print copyright legal complementary contentinfo""".split()
 )
+#: Inside main text a class or role that is one of these as a whole drops its element. Words that articles use too (alert, legal, notice, search and so on) need the template's word.
+INNER_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promotions cookie cookies gdpr nav navbar navigation menu menus submenu breadcrumb
+    breadcrumbs sidebar sidebars masthead topbar toolbar toolbox comment comments commentlist disqus respond share sharing social related recommended recommendations newsletter subscribe
+    subscription signup login pager pagination paginator widget widgets popup complementary contentinfo""".split()
+)
+#: So do these ids, but of no heading: ids name what a section is about.
+INNER_IDS = frozenset("comments disqus_thread respond".split())
 MAIN_WORDS = frozenset("main articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
 
-def element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Name of an element in paths, whether it is dropped, whether it holds the main text."""
+def element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Name of an element in paths, whether it is dropped outside and inside main text, whether it holds the main text."""
     name, drop, main = tag, tag in DROP_TAGS, tag in ("article", "main")
+    inner = drop
     if attributes:
         told = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _names.finditer(attributes)]
         if told:
             tokens = {(k, x) for k, v in told for x in v.lower().split()}
+            named = {x for k, x in tokens if k in ("class", "role")}
+            if tag not in INLINE and tag not in HEADINGS and tag != "main":
+                inner = inner or bool(named & INNER_WORDS) or any(k == "id" and x in INNER_IDS for k, x in tokens)
             words = {w.lower() for _, v in told for w in _words(v)} & DROP_WORDS
             if main or ("role", "main") in tokens or ("itemprop", "articlebody") in tokens:
-                main = not drop
+                main, drop = not inner, inner
             elif tag not in ("html", "body"):
                 own = {x for k, x in tokens if k in ("class", "id")}
                 whole = bool(own & MAIN_WORDS)
@@ -90,8 +107,8 @@ def element(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 drop = drop or (bool(words & {x for _, x in tokens}) if whole else bool(words))
             name = tag + "".join(f".{_digits.sub('0', v)}" for k, v in told if k in ("class", "id"))
         if _hidden.search(attributes):
-            drop = True
-    return name.replace("/", "|"), drop, main and not drop
+            drop = inner = True
+    return name.replace("/", "|"), drop, inner, main and not drop
 
 
 class Page:
@@ -136,8 +153,10 @@ class Page:
                     at = end.end() if end else len(html)
                 self.opened.append(f"{stack[-1][1]}/{tag}")
                 continue
-            name, drop, main = element(tag, attributes)
+            name, drop, inner, main = element(tag, attributes)
             _, path, dropped, in_main, link = stack[-1]
+            if in_main:
+                drop = inner
             if tag == "header" and not in_main:
                 drop = True
             if not inline:

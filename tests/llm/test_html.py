@@ -106,3 +106,15 @@ def test_repeated_pages_keep_their_text(spark):
 )
 def test_main_is_named_as_a_whole(source, want):
     assert extract(source, *NONE) == want
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<h2 id='related-work'>Related work</h2><p>a</p>", "Related work\n\na"), ("<section id='legal-framework'><p>law</p></section>", "law"), ("<div class='search-results'>found</div>", "found"), ("<h2 id=comments>c</h2>", "c"), ("<div class='alert'>take care</div>", "take care"),
+        ("<pre><span class='token comment'># c</span> x</pre>", "# c x"), ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</p>", "if x=1 then"), ("<p>a</p><svg><title>i</title><defs><g/></defs><path d='M0'/><text>axis</text></svg><p>b</p>", "a\n\naxis\n\nb"),
+        ("a<div class='related posts'>r</div><section id=comments>c</section>b", "a\n\nb"), ("a<div role=navigation>n</div>b", "a\n\nb"),
+    ],
+)
+def test_names_inside_an_article(source, want):
+    assert extract(f"<article>{source}</article>", *NONE) == want
