@@ -4,7 +4,8 @@ A text is lower-cased and every run of characters that aren't letters becomes on
 n-grams of 1 to ORDERS characters are hashed into 2 ** BITS buckets for each order. Training sums
 bucket counts by language, smoothed by ALPHA, into a matrix of log probabilities that is broadcast
 (ORDERS * 2 ** BITS rows, one column per language). Scoring gathers the rows of a batch's n-grams
-and sums them by document in numpy.
+and sums them by document in numpy. Every language is learned; more than BLOCK make several matrices,
+which are made and scored in turn, with a running maximum and sum.
 
 The model is fitted on a bounded sample: about ``max_docs`` documents of each language, chosen by a
 hash of the id; a parameter. Every document is scored whole, long texts in parts of PART characters.
@@ -13,7 +14,7 @@ hash of the id; a parameter. Every document is scored whole, long texts in parts
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ BITS = 15
 ALPHA = 0.5
 MAX_DOCS = 3000
 PART = 1 << 18
-#: The model holds so many languages at most, those of the most documents.
-MAX_LANGS = 200
+#: Languages of one matrix, and languages that a task counts at once.
+BLOCK = 200
 _letter = re.compile(r"[^\W\d_]").search
 _gaps = re.compile(r"[\W\d_]+").sub
 
@@ -54,38 +55,50 @@ def has_letter(text: str | None) -> bool:
 def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse sums (lang, bucket, n) of what one task reads."""
     sums: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, at in sums.items():
+            full = np.flatnonzero(at)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(at[full])], ["lang", "bucket", "n"])
+        sums.clear()
+
     for b in batches:
         for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
             if has_letter(text):
+                if lang not in sums and len(sums) >= BLOCK:
+                    yield from flush()
                 at = sums.setdefault(lang, np.zeros(ORDERS << BITS, np.int64))
                 for rows in buckets(text):
                     at += np.bincount(rows, minlength=ORDERS << BITS)
-    for lang, at in sums.items():
-        full = np.flatnonzero(at)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(at[full])], ["lang", "bucket", "n"])
+    yield from flush()
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in code point order, and the matrix: row by bucket, column by language."""
+def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Blocks of languages in code point order, each with its matrix: row by bucket, column by language."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out("doc_id"))
-    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs")).orderBy(F.desc("n_docs"), "lang").limit(MAX_LANGS).collect()
+    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs")).collect()  # the languages' names
     names = sorted(r["lang"] for r in langs)
     if not names:
-        return [], np.zeros((ORDERS << BITS, 0), np.float32)
-    share = F.element_at(F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, max_docs / r["n_docs"]))]), F.col("lang"))
+        return
+    blocks = [names[i : i + BLOCK] for i in range(0, len(names), BLOCK)]
+    block_of = {x: k for k, own in enumerate(blocks) for x in own}
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max_docs / r["n_docs"]), block_of[r["lang"]]) for r in langs], "known_lang string, share double, block int")
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
-    sample = known.where(F.coalesce(u < share, F.lit(False))).select("text", "lang")
+    sample = known.join(F.broadcast(shares.select("known_lang", "share")), F.col("lang") == F.col("known_lang")).where(F.coalesce(u < F.col("share"), F.lit(False))).select("text", "lang")
     sums = sample.mapInArrow(count_buckets, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((ORDERS << BITS, len(names)))
-    at = {x: i for i, x in enumerate(names)}
-    got = sums.toPandas()  # the matrix: ORDERS * 2 ** BITS rows for each language at most
-    if len(got):
-        counts[got["bucket"].to_numpy(), got["lang"].map(at).to_numpy()] = got["n"].to_numpy()
-    counts += ALPHA
-    for n in range(ORDERS):
-        part = counts[n << BITS : (n + 1) << BITS]
-        part /= part.sum(axis=0)
-    return names, np.log(counts).astype(np.float32)
+    if len(blocks) > 1:
+        sums = stage(sums.join(F.broadcast(shares.select("known_lang", "block")), F.col("lang") == F.col("known_lang")).select("block", "lang", "bucket", "n"), "langid-counts")
+    for k, own in enumerate(blocks):
+        counts = np.zeros((ORDERS << BITS, len(own)))
+        at = {x: i for i, x in enumerate(own)}
+        got = (sums.where(F.col("block") == k).drop("block") if len(blocks) > 1 else sums).toPandas()  # one matrix: ORDERS * 2 ** BITS rows for each of its languages at most
+        if len(got):
+            counts[got["bucket"].to_numpy(), got["lang"].map(at).to_numpy()] = got["n"].to_numpy()
+        counts += ALPHA
+        for n in range(ORDERS):
+            part = counts[n << BITS : (n + 1) << BITS]
+            part /= part.sum(axis=0)
+        yield own, np.log(counts).astype(np.float32)
 
 
 def log_odds(text: str, matrix: np.ndarray) -> np.ndarray:
@@ -97,29 +110,37 @@ def log_odds(text: str, matrix: np.ndarray) -> np.ndarray:
     return total
 
 
+def score_blocks(texts: list[str | None], blocks: Iterable[tuple[list[str], np.ndarray]]) -> tuple[list[str], np.ndarray]:
+    """Predicted languages and posteriors over all blocks. Short texts of a batch are scored together, as one sparse matrix."""
+    pred, peak, mass = ["und"] * len(texts), np.full(len(texts), -np.inf), np.zeros(len(texts))
+    todo = [i for i, t in enumerate(texts) if has_letter(t)]
+    for names, matrix in blocks:
+        start = 0
+        while start < len(todo) and names:
+            end, chars = start, 0
+            while end < len(todo) and (end == start or chars + len(texts[todo[end]]) <= PART):
+                chars += len(texts[todo[end]])
+                end += 1
+            own = todo[start:end]
+            if len(own) == 1 and chars > PART:
+                sums = log_odds(texts[own[0]], matrix)[None]
+            else:
+                parts = [np.concatenate(list(buckets(texts[i]))) for i in own]
+                at = np.cumsum([0, *map(len, parts)])[:-1]
+                sums = np.add.reduceat(matrix[np.concatenate(parts)], at, axis=0, dtype=np.float64)
+            top, most = sums.argmax(axis=1), sums.max(axis=1)  # the first of equals: code point order
+            odds = np.exp(sums - most[:, None]).sum(axis=1)
+            for i, k, m, p in zip(own, top, most, odds, strict=True):
+                if m > peak[i]:
+                    pred[i], mass[i], peak[i] = names[k], mass[i] * np.exp(peak[i] - m) + p, m
+                else:
+                    mass[i] += p * np.exp(m - peak[i])
+            start = end
+    return pred, np.divide(1.0, mass, out=np.zeros(len(texts)), where=mass > 0)
+
+
 def score_batch(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Predicted languages and posteriors. Short texts of a batch are scored together, as one sparse matrix."""
-    pred, best = ["und"] * len(texts), np.zeros(len(texts))
-    todo = [i for i, t in enumerate(texts) if has_letter(t)] if names else []
-    start = 0
-    while start < len(todo):
-        end, chars = start, 0
-        while end < len(todo) and (end == start or chars + len(texts[todo[end]]) <= PART):
-            chars += len(texts[todo[end]])
-            end += 1
-        own = todo[start:end]
-        if len(own) == 1 and chars > PART:
-            sums = log_odds(texts[own[0]], matrix)[None]
-        else:
-            parts = [np.concatenate(list(buckets(texts[i]))) for i in own]
-            at = np.cumsum([0, *map(len, parts)])[:-1]
-            sums = np.add.reduceat(matrix[np.concatenate(parts)], at, axis=0, dtype=np.float64)
-        top = sums.argmax(axis=1)  # the first of equals: code point order
-        odds = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-        for i, k, p in zip(own, top, odds, strict=True):
-            pred[i], best[i] = names[k], p
-        start = end
-    return pred, best
+    return score_blocks(texts, [(names, matrix)])
 
 
 def language_id(docs: DataFrame, max_docs: int = MAX_DOCS, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
@@ -130,12 +151,18 @@ def language_id(docs: DataFrame, max_docs: int = MAX_DOCS, model: tuple[list[str
     go to the language first in code point order. Repeated rows are scored each; a null doc_id is
     never held out. Only doc_id, text and, for training, lang are read.
     """
-    names, matrix = model or train(docs, max_docs)
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
+    spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(block) for block in ([model] if model else train(docs, max_docs))]
+
+    def blocks() -> Iterator[tuple[list[str], np.ndarray]]:
+        for s in shared:
+            yield s.value
+            if len(shared) > 1:
+                s.__dict__.pop("_value", None)  # a worker holds one block at a time and reads it again from its disk
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, best = score_batch(b["text"].to_pylist(), *shared.value)
+            pred, best = score_blocks(b["text"].to_pylist(), blocks())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(pred, pa.string()), pa.array(best, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

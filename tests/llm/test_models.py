@@ -94,6 +94,28 @@ def test_langid_awkward(spark):
     assert {r.lang_pred for r in langid.language_id(docs(spark, [(1, "abc", None, None, None)])).collect()} == {"und"}
 
 
+def many_languages():
+    """230 languages of two letters each; the last one has the fewest documents."""
+    rows = []
+    for k in range(230):
+        own = chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k)
+        rows += [(1000 * k + i, f"{own} {own[::-1]} {own}" * 5, f"l{k:03d}", "s", 1) for i in range(12 if k < 229 else 5)]
+    return rows
+
+
+def test_every_language_is_learned(spark):
+    rows = many_languages()
+    got = langid.language_id(docs(spark, rows)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_language_blocks_agree(spark, monkeypatch):
+    rows = [r for r in many_languages() if r[0] < 40_000]
+    one = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.language_id(docs(spark, rows)).collect()}
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.language_id(docs(spark, rows)).collect()} == one
+
+
 def test_langid_batches_and_parts_agree(monkeypatch):
     names, matrix = ["x", "y"], np.log(np.random.default_rng(0).random((langid.ORDERS << langid.BITS, 2)) + 0.1).astype(np.float32)
     texts = ["hello there", None, "a", "", "some words " * 50, "123"]
