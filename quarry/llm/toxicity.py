@@ -9,7 +9,7 @@ a word's part of what discounting takes from the continuation counts of both cla
 
 where n_c(v w) counts the trigram types that end in v w and k_c(w) the bigram types that end in w
 (so a passage that stands in many copies counts once), N and K sum the discounted counts, and the
-backoff weights come from the counts of both classes together. Counts up to D = RARE are discounted
+backoff weights come from the counts of both classes together; where N_c(v) is 0, P_c(w | v) is P_c(w). Counts up to D = RARE are discounted
 whole, so an expression seen a few times says nothing: its weight goes to the shared counts, where
 both classes agree, and an unseen word or pair favours neither class. Before that, a word not in the
 model backs off to its stem, its first STEM letters, estimated like a word. A log ratio,
@@ -42,8 +42,6 @@ from quarry.llm.common import held_out, stage, table
 MAX_DOCS = 4000
 MAX_GRAMS = 300_000
 RARE = 5
-#: A bigram enters the model from this count on.
-LEAST_BIGRAM = 25
 #: A task sends its trigram types on when it holds so many.
 TYPES_AT_ONCE = 200_000
 FIRM = 20
@@ -115,17 +113,18 @@ def fit_counts(grams: DataFrame, max_grams: int = MAX_GRAMS) -> dict:
                 stem_ratio[r["w"]] = x
 
     wide = grams.groupBy("v", "w").agg(of(F.col("n"), 0).alias("n0"), of(F.col("n"), 1).alias("n1"))
-    first = wide.groupBy("v").agg(F.sum(over("n0")).alias("m0"), F.sum(over("n1")).alias("m1"), F.sum(F.col("n0") + F.col("n1")).alias("m")).where("m0 > 0 and m1 > 0")
-    rows = wide.where(F.greatest("n0", "n1") >= LEAST_BIGRAM).join(first, "v").orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w").limit(max_grams // 2).collect()
+    first = wide.groupBy("v").agg(F.sum(over("n0")).alias("m0"), F.sum(over("n1")).alias("m1"), F.sum(F.col("n0") + F.col("n1")).alias("m"))
+    # A pair discounted whole in both classes backs off to its word, so it needs no entry.
+    told = wide.where(F.greatest("n0", "n1") > RARE).join(first, "v").join(types, "w")
     pairs = {}
-    for r in rows:
-        if base := uni.get(r["w"]):
-            held = 1 - (r["m0"] + r["m1"]) / r["m"]
-            p = [(1 - held) * max(r[f"n{c}"] - RARE, 0) / r[f"m{c}"] + held * base[c] for c in (0, 1)]
-            if min(p) > 0:
-                pairs[r["v"], r["w"]] = clear_ratio(p[1], p[0], r["n0"] + r["n1"])
+    for r in told.orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w").limit(max_grams // 2).collect():
+        k = (r["k0"], r["k1"])
+        held = 1 - (r["m0"] + r["m1"]) / r["m"]
+        p = [(1 - held) * max(r[f"n{c}"] - RARE, 0) / r[f"m{c}"] + held * lower(k, c) if r[f"m{c}"] else lower(k, c) for c in (0, 1)]
+        if min(p) > 0:
+            pairs[r["v"], r["w"]] = clear_ratio(p[1], p[0], r["n0"] + r["n1"])
     words = {r["w"]: clear_ratio(*uni[r["w"]][::-1], r["k0"] + r["k1"]) for r in kept}
-    return {"words": words, "stems": stem_ratio, "pairs": {k: x for k, x in pairs.items() if x != words[k[1]]}}
+    return {"words": words, "stems": stem_ratio, "pairs": {k: x for k, x in pairs.items() if x != words.get(k[1])}}
 
 
 def mean_ratio(text: str, model: dict) -> float:
