@@ -77,15 +77,6 @@ def test_ratio_by_hand():
     assert toxicity.mean_ratio("", model) == toxicity.mean_ratio(" ... ", model) == 0.0
 
 
-def test_rare_pairs_have_ratios(spark):
-    """Pairs of ordinary words that only toxic text has, with 20 different words before them; first words of one class only; a second word always after the same one."""
-    common = [f"w{i}" for i in range(40)]
-    grams = [(c, v, w, 10) for c in (0, 1) for v in common for w in common if v != w and (v not in ("w0", "w3") or w > "w6")]
-    grams += [(1, "w0", "w1", 20), (1, "lone", "w2", 20), (1, "w3", "always", 20), (0, "w4", "w5x", 3), (1, "w4", "w5x", 3)]
-    pairs = toxicity.fit_counts(spark.createDataFrame(grams, "label int, v string, w string, n long"))["pairs"]
-    assert pairs["w0", "w1"] > 0 and pairs["lone", "w2"] > 0 and pairs["w3", "always"] > 0 and ("w4", "w5x") not in pairs
-
-
 def test_langid(spark):
     rows, _ = corpus()
     got = langid.language_id(docs(spark, rows)).collect()
