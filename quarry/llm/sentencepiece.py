@@ -12,8 +12,11 @@ the kind of model, byte fallback, and the normaliser's settings. From these a to
 
 Texts are encoded in batches, which the library spreads over threads. No piece of the usual models
 holds a metaspace mark after another character; then nothing joins across the start of a word, and
-words are encoded once per worker process and kept. Parity with the original library can be
-verified on every text (``verify=True``), as the registered query does.
+each different word goes through the rebuilt tokenizer, normaliser and all, once per worker process:
+many words in one text, cut at the ids that start with the mark. The same ids go through its decoder,
+whose result is compared with the words; a text decodes to itself when its words do, as decoding
+works piece by piece. Parity with the original library, which gets every whole text, is verified on
+every text (``verify=True``), as the registered query does.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -41,7 +43,10 @@ SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words in either of the two tables that a worker process keeps.
 MOST_WORDS = 400_000
-_split = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n").findall
+#: Characters of words that are encoded in one text.
+CHUNK_CHARS = 2000
+#: Words with the spaces before them, and words at the start of a line.
+_general = re.compile(r"\n[^ \n]*| +[^ \n]*").findall
 _known: dict[str, Encoder] = {}
 
 
@@ -108,6 +113,8 @@ def read_model(path: str) -> Model:
         raise ValueError("only unigram and BPE models")
     if out.suffix_spaces or not out.escape_spaces:
         raise ValueError("spaces as suffixes or unescaped are not supported")
+    if any(kind == USER_DEFINED for _, _, kind in out.pieces):
+        raise ValueError("pieces defined by the user are not supported")
     return out
 
 
@@ -150,22 +157,29 @@ def _two_or_more():
 
 
 class Encoder:
+    """The rebuilt tokenizer, and the words that it has encoded and decoded already."""
+
     def __init__(self, path: str):
         self.path = path
         self.model = read_model(path)
-        self.plain = not self.model.charsmap and not self.model.remove_extra_spaces and all(SPACE_MARK not in p.lstrip(SPACE_MARK) and "\n" not in p for p, _, k in self.model.pieces if k not in (CONTROL, UNKNOWN, BYTE)) and self.model.kind == 2 and self.model.byte_fallback
-        self.words = build(self.model) if self.plain else None
-        if self.words:
-            self.words.normalizer = None
+        self.tokenizer = build(self.model)
+        self.plain = self._plain(self.model)
+        starts = [p.startswith(SPACE_MARK) for p, _, _ in self.model.pieces]
+        if self.plain:
+            self.newline = self.tokenizer.token_to_id("<0x0A>")
+            starts[self.newline] = True
+        self.starts = np.array(starts)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.bytes_of = [self._piece_bytes(p, k) for p, _, k in self.model.pieces]
+        #: Words that decoding doesn't give back.
+        self.bad: set[str] = set()
         self.original = None
 
-    @cached_property
-    def tokenizer(self) -> Tokenizer:
-        """The whole tokenizer, with its normaliser and decoder."""
-        return build(self.model)
+    @staticmethod
+    def _plain(m: Model) -> bool:
+        """Whether no piece goes on past the start of a word or over a line end, so that each word's ids are its own."""
+        texts = [p for p, _, k in m.pieces if k not in (CONTROL, UNKNOWN, BYTE)]
+        return m.kind == 2 and m.byte_fallback and m.dummy_prefix and not m.charsmap and not m.remove_extra_spaces and all(SPACE_MARK not in p.lstrip(SPACE_MARK) and "\n" not in p for p in texts)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -175,37 +189,71 @@ class Encoder:
         return _known[path]
 
     @staticmethod
-    def _piece_bytes(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        return b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else piece.replace(SPACE_MARK, " ").encode()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian unsigned 32-bit."""
+    def cut(text: str) -> list[str]:
+        """The words of a text. A word stands for the space before it (the dummy prefix, for the first) and itself, with further spaces in front; one that starts with a line end, for itself."""
+        words = text.replace("\n", " \n").split(" ") if text else []
+        return words if "" not in words else [w.removeprefix(" ") for w in _general(" " + text)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words with the rebuilt tokenizer, many in one text, and decode them: a word begins at each id that starts with the mark or is a line end."""
+        simple, single, size = [[]], [], 0
+        for w in words:
+            if not w or w[0] == " ":
+                single.append(w)
+            elif w[0] == "\n" and not simple[-1]:
+                simple[-1] += ["a", w]  # a text's first word takes the dummy prefix
+            else:
+                simple[-1].append(w)
+                size += len(w)
+                if size > CHUNK_CHARS:
+                    simple.append([])
+                    size = 0
+        texts = ["".join(w if w[0] == "\n" else f" {w}" for w in own)[1:] for own in simple if own]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+        for own, text, ids, again in zip(filter(None, simple), texts, found, back, strict=True):
+            ids = np.array(ids, "<u4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(own) or again != text:
+                single += own
+                continue
+            raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), 4 * len(ids)]
+            for w, i, j in zip(own, (at * 4).tolist(), ends, strict=True):
+                self.kept[w] = raw[i:j]
+        for w in single:
+            # Behind a word comes a line end, before a line end a dummy prefix: both are one id.
+            ids = self.tokenizer.encode(w + "\n", add_special_tokens=False).ids
+            ids = ids[1:-1] if w[:1] == "\n" else ids[:-1]
+            self.kept[w] = array("I", ids).tobytes()
+            if self.tokenizer.decode([*([self.tokenizer.token_to_id(SPACE_MARK)] if w[:1] == "\n" else []), *ids], skip_special_tokens=False) != w:
+                self.bad.add(w)
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, little-endian unsigned 32-bit, and whether decoding them gives the text back."""
         if not self.plain:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            return [array("I", ids).tobytes() for ids in found], [x == t for x, t in zip(back, texts, strict=True)]
         if len(self.kept) > MOST_WORDS:
             self.older, self.kept = self.kept, {}
-        mark = SPACE_MARK if self.model.dummy_prefix else ""
-        cut = [_split((mark + t).replace(" ", SPACE_MARK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.kept)
+            self.bad &= self.older.keys()
+        kept, cut, marked = self.kept, [], []
+        for t in texts:
+            marked.append(SPACE_MARK in t)
+            cut.append(self.cut(t.replace(SPACE_MARK, " ") if marked[-1] else t))
         todo = []
-        for w in new:
+        for w in set(chain.from_iterable(cut)).difference(kept):
             if (old := self.older.get(w)) is not None:
-                self.kept[w] = old
+                kept[w] = old
             else:
                 todo.append(w)
-        for w, e in zip(todo, self.words.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self.kept[w] = array("I", e.ids).tobytes()
-        get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes of the pieces, less the dummy prefix; damaged UTF-8 becomes U+FFFD."""
-        out = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        if self.model.dummy_prefix and out[:1] == b" ":
-            out = out[1:]
-        return out.decode("utf-8", "replace")
+        self._learn(todo)
+        get, bad = kept.__getitem__, self.bad
+        return [b"".join(map(get, words)) for words in cut], [not m and (not bad or bad.isdisjoint(words)) for m, words in zip(marked, cut, strict=True)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """The texts of ids, by the library."""
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def verify(self, texts: list[str]) -> list[bytes]:
         """The ids that the original library gives."""
@@ -233,9 +281,9 @@ def encode_documents(docs: DataFrame, model: str, verify: bool = False, with_ids
             texts = b["text"].to_pylist()
             for i, j in parts(texts):
                 own = texts[i:j]
-                raw = encoder.encode(own)
+                raw, same = encoder.encode(own)
                 ids = [np.frombuffer(r, "<u4") for r in raw]
-                columns = [b["doc_id"][i:j], pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([encoder.decode(x) == t for x, t in zip(ids, own, strict=True)], pa.bool_())]
+                columns = [b["doc_id"][i:j], pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(same, pa.bool_())]
                 if verify:
                     columns.append(pa.array([x == y for x, y in zip(raw, encoder.verify(own), strict=True)], pa.bool_()))
                 if with_ids:
@@ -247,6 +295,19 @@ def encode_documents(docs: DataFrame, model: str, verify: bool = False, with_ids
     return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
+def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
+    """doc_id, text of each row (doc_id, ids), by the rebuilt decoder. Null ids give an empty text; an empty table gives no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(model)
+        for b in batches:
+            ids = [x or [] for x in b["ids"].to_pylist()]
+            for i, j in parts(ids):
+                yield pa.RecordBatch.from_arrays([b["doc_id"][i:j], pa.array(encoder.decode(ids[i:j]), pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def model_path() -> str:
     import public_tokenizers
 

@@ -1,6 +1,8 @@
 """Word-wise encoding, token shards, and SentencePiece models in the tokenizers library."""
 
 import glob
+import math
+import struct
 import zlib
 from array import array
 
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 
 from quarry.llm import sstable
 from quarry.llm.encoding import WordEncoder, parts
-from quarry.llm.sentencepiece import Encoder, Model, build, encode_documents, merges, model_path, read_model
+from quarry.llm.sentencepiece import Encoder, Model, build, decode_documents, encode_documents, merges, model_path, read_model
 from tests.llm.helpers import awkward, docs, long_text
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -144,8 +146,9 @@ def test_piece_parity_and_round_trip():
     e = Encoder.of(model_path())
     texts = [*ODD, "a  b   c", "\n\n x", "<s> </s> <unk> <0x41>", "  lead", "trail  ", "x\x00y", *[long_text(k, 400) for k in range(4)]]
     assert e.plain
-    assert e.encode(texts) == e.verify(texts)
-    assert [e.decode(np.frombuffer(x, "<u4")) for x in e.encode(texts)] == texts
+    raw, same = e.encode(texts)
+    assert raw == e.verify(texts) and all(same)
+    assert e.decode([np.frombuffer(x, "<u4").tolist() for x in raw]) == texts
     library = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert library == e.verify(texts)
     assert [e.tokenizer.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in library] == texts
@@ -155,10 +158,52 @@ def test_piece_parity_and_round_trip():
 @given(st.text(alphabet, max_size=60))
 def test_any_text_has_piece_parity(text):
     e = Encoder.of(model_path())
-    raw = e.encode([text])
-    assert raw == e.verify([text])
-    if "▁" not in text:
-        assert e.decode(np.frombuffer(raw[0], "<u4")) == text
+    raw, same = e.encode([text])
+    assert raw == e.verify([text]) and same == [e.decode([np.frombuffer(raw[0], "<u4").tolist()])[0] == text] == ["▁" not in text]
+
+
+def proto(number, value) -> bytes:
+    """A field of a protobuf message: varint, 4-byte float or bytes."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_file(path, **normaliser):
+    """A unigram model with byte fallback, of single letters and the pieces of a public model."""
+    said = read_model(model_path()).pieces
+    pieces = [p for p in said if p[2] != 1] + [(p, -2.0 - 0.37 * math.log(2 + i), 1) for i, (p, _, kind) in enumerate(said) if kind == 1 and len(p) < 9 and i % 3]
+    data = b"".join(proto(1, proto(1, p.encode()) + proto(2, s) + proto(3, kind)) for p, s, kind in pieces)
+    data += proto(2, proto(3, 1) + proto(35, 1)) + proto(3, b"".join(proto({"dummy": 3, "squeeze": 4}[k], v) for k, v in normaliser.items()))
+    path.write_bytes(data)
+    return str(path)
+
+
+@pytest.mark.parametrize("normaliser", [{"dummy": 1, "squeeze": 0}, {"dummy": 0, "squeeze": 0}, {"dummy": 1, "squeeze": 1}])
+def test_unigram_parity(tmp_path, normaliser):
+    e = Encoder(unigram_file(tmp_path / "u.model", **normaliser))
+    assert not e.plain and e.model.kind == 1
+    texts = [*[t for t in ODD if t], "a  b   c", "x\ny z", "  lead", "trail  ", "日本 語😀", *[long_text(k, 400) for k in range(4)]]
+    raw, same = e.encode(texts)
+    assert raw == e.verify(texts)
+    if not normaliser["squeeze"]:
+        assert all(same)
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    from quarry.llm import sentencepiece
+
+    e = Encoder(model_path())
+    monkeypatch.setattr(sentencepiece, "MOST_WORDS", 10)
+    monkeypatch.setattr(sentencepiece, "CHUNK_CHARS", 7)
+    for k in range(10):
+        text = long_text(k, 30) + "\n" + long_text(k + 1, 5)
+        assert e.encode([text])[0] == e.verify([text])
+    assert len(e.kept) <= 50 and len(e.older) <= 50
 
 
 def test_unigram_model_keeps_scores():
@@ -179,4 +224,7 @@ def test_encode_documents(spark):
     for r in got:
         raw = np.array(r.ids, "<u4").tobytes()
         assert (r.n_tokens, r.ids_crc32) == (len(r.ids), zlib.crc32(raw)) and raw in e.verify(texts[r.doc_id])
-    assert encode_documents(docs(spark, []), model_path()).count() == 0
+    back = decode_documents(encode_documents(df, model_path()), model_path()).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t, *_ in awkward())
+    none = encode_documents(docs(spark, []), model_path())
+    assert none.count() == 0 and decode_documents(none, model_path()).count() == 0
