@@ -1,6 +1,8 @@
 """Toxicity and language identification: held-out accuracy, awkward rows."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,9 +74,97 @@ def test_keep_clean(spark, labels):
 
 
 def test_ratio_by_hand():
-    model = {"words": {"bad": 2.0, "good": -0.5}, "stems": {"badly": 1.0}, "pairs": {("so", "bad"): 3.0}}
-    assert toxicity.mean_ratio("Bad, so bad! badlyish good", model) == pytest.approx((2.0 + 0 + 3.0 + 1.0 - 0.5) / (5 + toxicity.FIRM))
-    assert toxicity.mean_ratio("", model) == toxicity.mean_ratio(" ... ", model) == 0.0
+    h = toxicity.hashes
+    order = lambda keys, values: (np.sort(keys), np.array(values)[np.argsort(keys)])
+    model = {"words": order(h("bad good"), [2.0, -0.5]), "pairs": order(toxicity.chain(h("so"), h("bad")), [3.0])}
+    assert toxicity.mean_ratio("Bad, so bad! badlyish good", model) == pytest.approx((2.0 + 0 + 3.0 + 0 - 0.5) / (5 + toxicity.FIRM))
+    assert toxicity.mean_ratio("", model) == toxicity.mean_ratio(" ... ", model) == toxicity.mean_ratio("x", toxicity.EMPTY) == 0.0
+
+
+def test_held_out_labels_teach_nothing(spark, labels):
+    rows, known = corpus()
+    turned = spark.createDataFrame([(i, q, 1 - t if held_out(i) else t) for i, q, t in known] + [(9999, 1, 1)], "doc_id long, quality int, toxic int")
+    score = lambda x: {r.doc_id: r.score for r in toxicity.toxicity(docs(spark, rows), x).collect()}
+    assert score(labels) == pytest.approx(score(turned), rel=1e-9)
+
+
+def brute_ratios(texts, all_texts, share, errors):
+    """Log ratios of words and of pairs, by word, from (words, label) of the training texts; a plain reading of the module's formulas."""
+    part, grams = (1 - share, share), (set(), set())
+    for words, label in texts:
+        grams[label].update(zip(["", "", *words[:-2]], ["", *words[:-1]], words))  # noqa: B905
+    n = [Counter((v, w) for _, v, w in g) for g in grams]
+    k, m = [Counter(w for _, w in c) for c in n], [Counter() for _ in n]
+    for c in (0, 1):
+        for (v, _), x in n[c].items():
+            m[c][v] += x
+    total = [sum(c.values()) for c in k]
+    counts = [Counter(c.values()) for c in k]
+    discount = [min(max(c[1] / max(c[1] + 2 * c[2], 1), 0.05), 0.95) for c in counts]
+    held = Counter(w for words in all_texts for w in set(words))
+    freed = sum(part[c] * discount[c] * len(k[c]) / total[c] for c in (0, 1))
+    vocabulary = set(k[0]) | set(k[1])
+    shared = {w: sum(part[c] / total[c] * max(k[c][w] - discount[c], 0) for c in (0, 1)) + freed * held[w] / sum(held.values()) for w in vocabulary}
+
+    def moved(count, expected, z):
+        off = count - expected
+        return math.copysign(max(abs(off) - z * math.sqrt(expected + 1) - toxicity.SLACK * expected, 0), off)
+
+    p = {w: [(total[c] * shared[w] + moved(k[c][w], total[c] * shared[w], errors)) / total[c] for c in (0, 1)] for w in vocabulary}
+    words = {w: math.log(p[w][1] / p[w][0]) for w in vocabulary}
+    pairs, z = {}, errors + toxicity.PAIR_ERRORS
+    for v, w in set(n[0]) | set(n[1]):
+        if max(n[0][v, w], n[1][v, w]) > min(toxicity.ERRORS) + toxicity.PAIR_ERRORS:
+            s = sum(part[c] * (n[c][v, w] / m[c][v] if m[c][v] else shared[w]) for c in (0, 1))
+            own = [0.0, 0.0]
+            for c in (0, 1):
+                if m[c][v]:
+                    e = m[c][v] * s * p[w][c] / shared[w]
+                    own[c] = math.log((e + moved(n[c][v, w], e, z)) / e)
+            if own[0] != own[1]:
+                pairs[v, w] = words[w] + own[1] - own[0]
+    return words, pairs
+
+
+def test_models_equal_brute_force(spark, monkeypatch):
+    """Every ratio, on texts with a toxic word, and a toxic pair of ordinary words."""
+    monkeypatch.setattr(toxicity, "PAIR_ERRORS", 0.0)
+    rng, texts = random.Random(5), []
+    for i in range(300):
+        words = [rng.choice(WORDS["aa" if i % 3 else "bb"]) for _ in range(30)]
+        if i % 4 == 0:
+            for at in sorted(rng.sample(range(30), 3), reverse=True):
+                words[at:at] = [BAD[0]] if at % 2 else ["tana", "schich"]
+        texts.append((words, int(i % 4 == 0)))
+    others = [[rng.choice(WORDS["aa"]) for _ in range(9)] for _ in range(50)]
+    grams = spark.createDataFrame([(" ".join(w), label) for w, label in texts], "text string, label int").mapInArrow(toxicity.gram_types, "label int, t long, v long, w long")
+    grams = grams.dropDuplicates(["label", "t", "v", "w"]).groupBy("label", "v", "w").count().withColumnRenamed("count", "n")
+    every = [w for w, _ in texts] + others
+    corpus_counts = spark.createDataFrame([(" ".join(w),) for w in every], "text string").mapInArrow(toxicity.word_documents, "w long, n long").groupBy("w").agg({"n": "sum"}).toDF("w", "n")
+    for model, errors in zip(toxicity.fit_counts(grams, corpus_counts, 0.2), toxicity.ERRORS, strict=True):
+        words, pairs = brute_ratios(texts, every, 0.2, errors)
+        h = lambda w: toxicity.hashes(w)[:1] if w else np.zeros(1, np.uint64)
+        for w, x in words.items():
+            assert float(toxicity.look_up(model["words"], h(w), 0.0)[0]) == pytest.approx(x, abs=1e-9)
+        assert any(words[w] > 1 for w in BAD[:1]) and len(model["pairs"][0]) == len(pairs) > 0
+        for (v, w), x in pairs.items():
+            assert float(toxicity.look_up(model["pairs"], toxicity.chain(h(v), h(w)), np.nan)[0]) == pytest.approx(x, abs=1e-9)
+
+
+def test_gram_and_word_parts_agree(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": [r[1] or "" for r in awkward()], "label": pa.array([i % 2 for i in range(len(awkward()))], pa.int32())})
+    told = lambda f: Counter(tuple(r.values()) for b in f(iter([batch])) for r in b.to_pylist())
+    one, words = set(told(toxicity.gram_types)), Counter()
+    for (w, n), times in told(toxicity.word_documents).items():
+        words[w] += n * times
+    monkeypatch.setattr(toxicity, "AT_ONCE", 10)
+    assert set(told(toxicity.gram_types)) == one
+    again = Counter()
+    for (w, n), times in told(toxicity.word_documents).items():
+        again[w] += n * times
+    assert again == words
 
 
 def test_langid(spark):
