@@ -1,10 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-A text is lower-cased and every run of characters that aren't letters becomes one space; its
-n-grams of 1 to ORDERS characters are hashed into 2 ** BITS buckets for each order. Training sums
-bucket counts by language, smoothed by ALPHA, into a matrix of log probabilities that is broadcast
-(ORDERS * 2 ** BITS rows, one column per language). Scoring gathers the rows of a batch's n-grams
-and sums them by document in numpy. Every language is learned; more than BLOCK make several matrices,
+A text is lower-cased and every run of characters that aren't letters (Unicode category L) becomes one
+space; its n-grams of 1 to ORDERS characters are hashed into 2 ** BITS buckets for each order. Training
+sums bucket counts by language, smoothed by ALPHA, into a matrix of log probabilities that is broadcast
+(ORDERS * 2 ** BITS rows, one column per language), with the log of each language's part of the labelled
+documents as its prior. Scoring gathers the rows of a batch's n-grams, sums them by document in numpy
+and adds the priors. Every language is learned; more than BLOCK make several matrices,
 which are made and scored in turn, with a running maximum and sum.
 
 The model is fitted on a bounded sample: about ``max_docs`` documents of each language, chosen by a
@@ -14,6 +15,7 @@ hash of the id; a parameter. Every document is scored whole, long texts in parts
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +32,11 @@ MAX_DOCS = 3000
 PART = 1 << 18
 #: Languages of one matrix, and languages that a task counts at once.
 BLOCK = 200
-_letter = re.compile(r"[^\W\d_]").search
-_gaps = re.compile(r"[\W\d_]+").sub
+#: Signs that re takes for word characters though they are numbers: ½, ², Ⅷ and the like, and digits.
+_numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_letter = re.compile(f"[^\\W_{_numbers}]").search
+_gaps = re.compile(f"[\\W_{_numbers}]+").sub
+Block = tuple[list[str], np.ndarray, np.ndarray]
 
 
 def buckets(text: str) -> Iterator[np.ndarray]:
@@ -73,13 +78,14 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from flush()
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Blocks of languages in code point order, each with its matrix: row by bucket, column by language."""
+def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Iterator[Block]:
+    """Blocks of languages in code point order, each with its matrix, row by bucket, column by language, and log priors."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out("doc_id"))
     langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs")).collect()  # the languages' names
     names = sorted(r["lang"] for r in langs)
     if not names:
         return
+    n_docs = {r["lang"]: r["n_docs"] for r in langs}
     blocks = [names[i : i + BLOCK] for i in range(0, len(names), BLOCK)]
     block_of = {x: k for k, own in enumerate(blocks) for x in own}
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max_docs / r["n_docs"]), block_of[r["lang"]]) for r in langs], "known_lang string, share double, block int")
@@ -98,7 +104,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Iterator[tuple[list[str]
         for n in range(ORDERS):
             part = counts[n << BITS : (n + 1) << BITS]
             part /= part.sum(axis=0)
-        yield own, np.log(counts).astype(np.float32)
+        yield own, np.log(counts).astype(np.float32), np.log(np.array([n_docs[x] for x in own]) / sum(n_docs.values()))
 
 
 def log_odds(text: str, matrix: np.ndarray) -> np.ndarray:
@@ -110,11 +116,11 @@ def log_odds(text: str, matrix: np.ndarray) -> np.ndarray:
     return total
 
 
-def score_blocks(texts: list[str | None], blocks: Iterable[tuple[list[str], np.ndarray]]) -> tuple[list[str], np.ndarray]:
+def score_blocks(texts: list[str | None], blocks: Iterable[Block]) -> tuple[list[str], np.ndarray]:
     """Predicted languages and posteriors over all blocks. Short texts of a batch are scored together, as one sparse matrix."""
     pred, peak, mass = ["und"] * len(texts), np.full(len(texts), -np.inf), np.zeros(len(texts))
     todo = [i for i, t in enumerate(texts) if has_letter(t)]
-    for names, matrix in blocks:
+    for names, matrix, prior in blocks:
         start = 0
         while start < len(todo) and names:
             end, chars = start, 0
@@ -128,6 +134,7 @@ def score_blocks(texts: list[str | None], blocks: Iterable[tuple[list[str], np.n
                 parts = [np.concatenate(list(buckets(texts[i]))) for i in own]
                 at = np.cumsum([0, *map(len, parts)])[:-1]
                 sums = np.add.reduceat(matrix[np.concatenate(parts)], at, axis=0, dtype=np.float64)
+            sums = sums + prior
             top, most = sums.argmax(axis=1), sums.max(axis=1)  # the first of equals: code point order
             odds = np.exp(sums - most[:, None]).sum(axis=1)
             for i, k, m, p in zip(own, top, most, odds, strict=True):
@@ -140,10 +147,10 @@ def score_blocks(texts: list[str | None], blocks: Iterable[tuple[list[str], np.n
 
 
 def score_batch(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
-    return score_blocks(texts, [(names, matrix)])
+    return score_blocks(texts, [(names, matrix, np.zeros(len(names)))])
 
 
-def language_id(docs: DataFrame, max_docs: int = MAX_DOCS, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+def language_id(docs: DataFrame, max_docs: int = MAX_DOCS, model: Block | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
     lang_pred is a learned language, or ``und`` with score 0 where the text is null, empty or has no
@@ -154,7 +161,7 @@ def language_id(docs: DataFrame, max_docs: int = MAX_DOCS, model: tuple[list[str
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(block) for block in ([model] if model else train(docs, max_docs))]
 
-    def blocks() -> Iterator[tuple[list[str], np.ndarray]]:
+    def blocks() -> Iterator[Block]:
         for s in shared:
             yield s.value
             if len(shared) > 1:
