@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -193,6 +194,39 @@ def many_languages():
     return rows
 
 
+@pytest.mark.parametrize("text", ["½ ²", "Ⅷ", "①②", "12 34 !?", "_", "٣", "〇", "\u0301"])
+def test_texts_without_letters(text):
+    model = (["x", "y"], np.zeros((langid.ORDERS << langid.BITS, 2), np.float32), np.log([0.9, 0.1]))
+    pred, score = langid.score_blocks([text, text + "a"], [model])
+    assert not any(unicodedata.category(c).startswith("L") for c in text)
+    assert (pred[0], score[0]) == ("und", 0.0) and pred[1] == "x" and score[1] == pytest.approx(0.9)
+
+
+def test_langid_equals_brute_force(spark):
+    """Every posterior, from counts of n-grams as strings; their buckets only tell which n-grams count as one."""
+    rows = [r for r in corpus(60)[0]] + [(900 + i, t, "cc", "s", 1) for i, t in enumerate(["tana", "Zürich, ½ weg!", "tana lo", "miri  2 kuso"])] + [(950, "ta", None, "s", 1), (951, "sch ich", "aa", "s", 1)]
+    bucket_of = {}
+
+    def grams(text):
+        norm = " " + " ".join("".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower()).split()) + " "
+        own = [norm[i : i + n] for n in range(1, langid.ORDERS + 1) for i in range(len(norm) - n + 1)]
+        for g, b in zip(own, np.concatenate(list(langid.buckets(text))).tolist(), strict=True):
+            assert bucket_of.setdefault(g, b) == b and b >> langid.BITS == len(g) - 1
+        return [bucket_of[g] for g in own]
+
+    counts, n_docs = {}, Counter()
+    for i, text, lang, *_ in rows:
+        if lang and not held_out(i):
+            n_docs[lang] += 1
+            counts.setdefault(lang, Counter()).update(grams(text))
+    totals = {x: [sum(n for b, n in c.items() if b >> langid.BITS == k) + langid.ALPHA * (1 << langid.BITS) for k in range(langid.ORDERS)] for x, c in counts.items()}
+    for r in langid.language_id(docs(spark, rows)).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        logs = {x: math.log(n_docs[x] / sum(n_docs.values())) + sum(math.log((c[b] + langid.ALPHA) / totals[x][b >> langid.BITS]) for b in grams(text)) for x, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=1e-3)
+
+
 def test_every_language_is_learned(spark):
     rows = many_languages()
     got = langid.language_id(docs(spark, rows)).collect()
