@@ -8,7 +8,8 @@
    dropped; the rest is compared on full shingle sets. Links join documents into components.
 4. Buckets that still hold several components pair their members across components, the sketch test
    being part of the join condition. Pairs inside a component change nothing and are left out. So
-   every pair of a bucket is decided, and no bucket is expanded into all its pairs.
+   every pair of a bucket is decided, and no bucket is expanded into all its pairs. Rows of very
+   frequent band keys stay where they are: what they are joined with is broadcast.
 5. Components of all links are final.
 """
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import shingles as S
 from quarry.llm.common import stage, table
@@ -30,6 +32,8 @@ _WORDS = [f"s{i}" for i in range(S.SKETCH_WORDS)]
 _SKETCH = ["n", *_WORDS]
 #: Standard deviations of sampling that a linked pair's sketches may be off by; and spare bits for its folding.
 MARGIN, SPARE = 6.0, 20.0
+#: Band keys with more than this part of all rows are broadcast instead of being dealt to one task.
+HOT, LEAST_HOT = 4096, 64
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -49,8 +53,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             arrays = [b["id"], *[pa.array([s[k] for s in seqs], pa.int64()) for k in (0, 1)], pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(sk[:, k]) for k in range(S.SKETCH_WORDS)], ["id", "seq1", "seq2", "n", "bands", *_WORDS])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return stage(rows.mapInArrow(sign, f"id long, seq1 long, seq2 long, n long, bands array<long>, {', '.join(f'{s} long' for s in _WORDS)}"), "signatures")
+    return stage(docs.select("id", "text").mapInArrow(sign, f"id long, seq1 long, seq2 long, n long, bands array<long>, {', '.join(f'{s} long' for s in _WORDS)}"), "signatures")
 
 
 def near_sketches(a: str, b: str, percent: int) -> Column:
@@ -106,27 +109,29 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return stage(both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long"), "links")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def _met(rows: DataFrame, keys: DataFrame, bound: int, how: str) -> DataFrame:
+    """rows (with key) joined with keys (b_key, k, ...). Keys of more than ``bound`` rows, HOT at most, are broadcast, so that their rows stay where they are."""
+    on = F.col("key") == F.col("b_key")
+    hot = F.broadcast(keys.where(F.col("k") > bound))
+    cold = rows.join(hot, on, "left_anti").join(keys.where(F.col("k") <= bound), on, how)
+    return cold.unionByName(rows.join(hot, on, how))
 
-    Words are runs of characters other than white space, A-Z lower-cased. A set holds the different
-    shingles of ``width`` words; fewer words make one shingle. Null texts and texts without words
-    have an empty set and are linked with nothing. Rows with equal word sequences belong together,
-    also rows that repeat an id. A row with a null id is in no component: component_id is null and
-    it is kept. Only doc_id and text are read. An empty table gives no rows.
-    """
+
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, n, component of every row of docs (id, text); ids are different numbers. component is the least id reachable."""
     sig = signatures(docs, width)
-    full = sig.where("n > 0 and id is not null")
+    full = sig.where("n > 0")
     groups = stage(full.groupBy("seq1", "seq2").agg(F.min("id").alias("rep")), "sequences")
     first = full.join(_named(groups, "g_"), (F.col("seq1") == F.col("g_seq1")) & (F.col("seq2") == F.col("g_seq2")) & (F.col("id") == F.col("g_rep")))
-    reps = stage(first.select("id", "bands", *_SKETCH).dropDuplicates(["id"]), "representatives")
+    reps = stage(first.select("id", "bands", *_SKETCH), "representatives")
 
     bands = reps.select("id", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("key").alias("b_key"), "leader")
-    members = stage(bands.join(buckets, F.col("key") == F.col("b_key")).select("key", "id", "leader"), "members")
+    buckets = stage(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("key").alias("b_key"), "leader", "k"), "buckets")
+    bound = max(LEAST_HOT, (buckets.agg(F.sum("k")).first()[0] or 0) // HOT)
+    members = stage(_met(bands, buckets, bound, "inner").select("key", "id", "leader"), "members")
     sketches = reps.select("id", *_SKETCH)
     in_buckets = members.select(F.col("id").alias("m_id")).distinct()
-    texts = stage(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(in_buckets, F.col("id") == F.col("m_id"), "left_semi").dropDuplicates(["id"]), "texts")
+    texts = stage(docs.join(in_buckets, F.col("id") == F.col("m_id"), "left_semi"), "texts")
 
     star = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     near = star.join(_named(sketches, "a_"), F.col("a") == F.col("a_id")).join(_named(sketches, "b_"), (F.col("b") == F.col("b_id")) & near_sketches("a_", "b_", percent))
@@ -135,8 +140,10 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     placed = members.join(_named(found, "c_"), F.col("id") == F.col("c_node"), "left").select("key", "id", "leader", F.coalesce("c_component", "id").alias("component"))
     placed = stage(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select(F.col("key").alias("m_key"))
-    open_members = stage(placed.where("id <> leader").join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(_named(sketches, "k_"), F.col("id") == F.col("k_id")).select("key", "id", "component", *[F.col(f"k_{s}").alias(s) for s in _SKETCH]), "open")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select(F.col("key").alias("b_key"), "k")
+    open_members = _met(placed.where("id <> leader"), stage(mixed, "mixed"), bound, "inner").join(_named(sketches, "k_"), F.col("id") == F.col("k_id"))
+    open_members = stage(open_members.select("key", "id", "component", *[F.col(f"k_{s}").alias(s) for s in _SKETCH]), "open")
+    # Both sides are plain tables, so that Spark may split a large bucket over tasks.
     on = (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & near_sketches("x_", "y_", percent)
     cross = _named(open_members, "x_").join(_named(open_members, "y_"), on).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     more = confirm(stage(cross, "cross"), texts, width, percent)
@@ -146,14 +153,61 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     rep_of = sig.select("id", "seq1", "seq2", "n").join(_named(groups, "g_"), (F.col("seq1") == F.col("g_seq1")) & (F.col("seq2") == F.col("g_seq2")), "left")
     out = rep_of.withColumn("rep", F.when(F.col("n") > 0, F.col("g_rep")).otherwise(F.col("id"))).join(_named(found, "c_"), F.col("rep") == F.col("c_node"), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("c_component", "rep"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    return out.select("id", "n", F.coalesce("c_component", "rep").alias("component"))
+
+
+ROW = "_quarry_row"
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a different number for each row, and whether it had to be made: else it is doc_id."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").take(1):
+        return docs.withColumn(ROW, F.col("doc_id").cast("long")), False
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered"), True
+
+
+def _decided(rows: DataFrame, made: bool, width: int, percent: int) -> DataFrame:
+    """ROW, n, component_id and kept for every row."""
+    found = linked(rows.select(F.col(ROW).alias("id"), "text"), width, percent)
+    if not made:
+        return found.select(F.col("id").alias(ROW), "n", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    own = rows.select(F.col(ROW).alias("_row"), F.col("doc_id").alias("_id"))
+    found = found.join(own, F.col("id") == F.col("_row"))
+    least = found.groupBy("component").agg(F.min("_id").alias("component_id"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("of"), F.col("id").alias("row"))).alias("first"))
+    least = least.select(F.col("component").alias("_component"), "component_id", F.col("first.row").alias("_kept"))
+    return found.join(least, F.col("component") == F.col("_component")).select(F.col("id").alias(ROW), "n", "component_id", (F.col("id") == F.col("_kept")).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    Words are runs of characters other than white space, A-Z lower-cased. A set holds the different
+    shingles of ``width`` words; fewer words make one shingle. Null texts and texts without words
+    have an empty set and are linked with nothing. Rows with equal word sequences belong together.
+    component_id is the least id of the component's rows (null if none has one); rows with that id are
+    marked as kept, those that repeat it too. Rows that repeat an id, have none, or have ids that
+    aren't numbers are told apart, each counting for its own text. Only doc_id and text are read. An empty table gives no rows.
+    """
+    rows, made = _numbered(docs.select("doc_id", "text"))
+    found = _decided(rows, made, width, percent)
+    if not made:
+        return found.select(F.col(ROW).alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
+    own = rows.select(F.col(ROW).alias("_row"), "doc_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.join(own, F.col(ROW) == F.col("_row")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_dedup keeps, with the columns of docs."""
-    dropped = near_dedup(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_quarry_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_quarry_dropped"), "left_anti")
+    """The rows of docs that near_dedup keeps, with the columns of docs: one row of each component.
+
+    Rows without words are in no component and stay. Rows that repeat an id are decided each by its
+    text; a row without an id goes where another of its component stays. Extra columns come along,
+    whatever their names. An empty table gives no rows.
+    """
+    rows, made = _numbered(docs)
+    dropped = _decided(rows, made, width, percent).where("not kept").select(F.col(ROW).alias("_quarry_dropped"))
+    return rows.join(dropped, F.col(ROW) == F.col("_quarry_dropped"), "left_anti").select(*docs.columns)
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import shingles as S
 from quarry.llm.components import connected
@@ -23,12 +24,43 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bucket_bytes", [64 << 20, 50, 1])
-def test_exact(spark, bucket_bytes):
-    got = exact_dedup(docs(spark), bucket_bytes=bucket_bytes)
+@pytest.mark.parametrize("bucket_bytes, owner_bytes", [(64 << 20, 64 << 20), (50, 100), (1, 1)])
+def test_exact(spark, bucket_bytes, owner_bytes):
+    got = exact_dedup(docs(spark), bucket_bytes=bucket_bytes, owner_bytes=owner_bytes)
     assert sorted(map(tuple, got.collect()), key=str) == brute_exact(awkward())
 
 
+def many_copies():
+    return awkward() + [(1000 + i, "one text  in\tmany copies" if i % 3 else f"own {i % 40}", "en", "s", 1) for i in range(500)]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_with_hot_hashes_and_chains(spark, monkeypatch, weak):
+    """Copies beyond the hot bound, and a hash that many texts share: their bytes decide."""
+    from quarry.llm import exact_dedup as E
+
+    monkeypatch.setattr(E, "HOT", 6)
+    hash_of = (lambda c: F.shiftleft((F.octet_length(c) % 3).cast("long"), 62)) if weak else F.xxhash64
+    got = exact_dedup(docs(spark, many_copies()), bucket_bytes=500, hash_of=hash_of)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_exact(many_copies())
+
+
+def test_the_index_gives_the_result(spark):
+    """Buckets split, each entry stands in the bucket that the directory names, and rows are found through both."""
+    from quarry.llm import exact_dedup as E
+
+    df = docs(spark, many_copies())
+    texts = df.select(F.col("doc_id").alias("id"), E.normalise().alias("norm")).withColumn("h", F.xxhash64("norm"))
+    prints = texts.select("id", "h", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"))
+    index = E.build_index(texts, prints, 500, 2000)
+    slots = {r.slot: r.bucket for r in index.directory.collect()}
+    assert index.depth > 2 and len(slots) == 1 << index.depth and len(set(slots.values())) > 4
+    entries = index.entries.collect()
+    assert all(r.bucket == slots[(r.h & (1 << 64) - 1) >> (64 - index.depth)] and r.chain == r.chains == 1 for r in entries)
+    index.entries = index.entries.withColumn("bucket", F.col("bucket") + 1)
+    assert E.look_up(index, prints, texts).count() < prints.count()
+
+
 def test_exact_plan_is_native(spark):
     plan = exact_dedup(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -42,8 +74,17 @@ def test_exact_empty_and_extra_columns(spark):
 
 
 def test_keep_first(spark):
-    kept = [r.doc_id for r in keep_first(docs(spark)).collect()]
-    assert sorted(kept) == sorted(i for i, _, _, k, _ in brute_exact(awkward()) if k)
+    """One row of each group, whatever its id: ids repeated with one text, with several, and null."""
+    rows = awkward() + [(10, "another text", "fr", "c", 7), (50, "another text", "fr", "c", 7), (None, "nobody's", "x", "y", 1), (None, "nobody's", None, "z", 2)]
+    got = keep_first(docs(spark, rows)).collect()
+    norm = lambda t: SPACE.sub(" ", t or "")
+    want = {}
+    for doc_id, text, *_ in rows:
+        want.setdefault(norm(text), []).append(doc_id)
+    want = {t: min((i for i in ids if i is not None), default=None) for t, ids in want.items()}
+    assert sorted(((norm(r.text), r.doc_id) for r in got), key=str) == sorted(want.items(), key=str)
+    assert {tuple(r) for r in got} <= set(rows)
+    assert keep_first(docs(spark, [])).count() == 0
 
 
 def test_directory_splits_and_doubles():
@@ -91,9 +132,34 @@ def test_near(spark, width, percent):
 def test_near_corners(spark):
     assert near_dedup(docs(spark, [])).count() == 0
     none = near_dedup(spark.createDataFrame([(None, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None)], DOCS)).collect()
-    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in none) == [("1", "1", True), ("None", "None", True)]
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in none) == [("1", "1", True), ("None", "1", False)]
     more = docs(spark).selectExpr("*", "1 as id", "2 as n", "3 as bands", "4 as key", "5 as component_id")
     assert keep_one(more).columns == more.columns
+    names = spark.createDataFrame([("b", "a b c d e f"), ("a", "a b c d e F"), ("c", None)], "doc_id string, text string")
+    assert sorted(map(tuple, near_dedup(names).collect())) == [("a", 2, "a", True), ("b", 2, "a", False), ("c", 0, "c", True)]
+
+
+def test_rows_are_decided_by_their_own_text(spark):
+    """Ids that stand for several texts, repeated rows and rows without an id; each row counts for itself."""
+    base = long_text(5, 60)
+    near = base.replace(base.split()[30], "other", 1)
+    rows = [(1, base), (2, near), (2, "a clean text of its own"), (2, "a clean text of its own"), (None, near + " more"), (None, "nobody else says this one"), (3, ""), (3, None), (4, "x")]
+    got = [tuple(r) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()]
+    want = [(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (None, 1, False), (None, None, True), (3, 3, True), (3, 3, True), (4, 4, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = keep_one(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n int")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, base, 7), (2, "a clean text of its own", 7), (None, "nobody else says this one", 7), (3, "", 7), (3, None, 7), (4, "x", 7)], key=str)
+
+
+def test_near_with_hot_keys(spark, monkeypatch):
+    """Frequent keys that are broadcast give the same components."""
+    from quarry.llm import neardup
+
+    monkeypatch.setattr(neardup, "HOT", 10_000)
+    monkeypatch.setattr(neardup, "LEAST_HOT", 3)
+    rows = near_rows()
+    want = components({r[0]: r[1] for r in rows}, 4, 80)
+    assert {r.doc_id: r.component_id for r in near_dedup(docs(spark, rows), 4).collect()} == want
 
 
 def test_one_family_that_no_leader_links(spark):
