@@ -12,7 +12,10 @@ not in a deeper one, is a slot.
 2. For each host the classes are formed, those of each layout too, and every slot is judged:
    navigation and the like by name, constant text, link lists; an article or main element makes the
    slots outside it irrelevant. Inside it a slot is template text when it is constant, and a block of
-   a slot of links when it is links itself. Hosts with few pages share one pooled template.
+   a slot of links when it is links itself. Text is constant when it is the same on pages whose texts
+   differ otherwise, and stands on SUPPORT of the host's pages, or in a layout (a class of tokens) that
+   has slots whose text varies, or on OFTEN pages. Nothing can be told from a single page, nor from
+   copies of one: hosts without two different pages share one pooled template.
 3. A second pass takes each page's text from the slots that are kept. Outside main text elements that
    aren't in the template belong to the slot around them, unless their own name says otherwise. A page
    whose main text would go whole is a repeated page, not a template, and keeps it.
@@ -32,11 +35,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stage, table
 
-#: Hosts with fewer pages share the pooled template.
-MIN_PAGES = 8
+#: The same text so often is template text, also where it stands alone on few of a host's pages.
+OFTEN = 8
 #: A token is frequent on a host from this share of its pages on.
 SUPPORT = 0.5
-#: So is one of a layout, from MIN_PAGES pages and this share on; a host has so at most 1000 times the paths of a page.
+#: So is one of a layout, from two pages and this share on; a host has so at most 1000 times the paths of a page.
 LAYOUT = 0.001
 #: Links are a slot's text from this share of its letters on, outside and inside main text.
 LINKED, INNER_LINKED = 0.6, 0.9
@@ -195,14 +198,14 @@ def host_of(url: str | None) -> str:
 
 
 def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token figures by host and path of what one task reads: pages, occurrences, fingerprint, characters of text, links and main text, pages with text, least and greatest hash of their text."""
+    """Token figures by host and path of what one task reads: pages, occurrences, fingerprint, characters of text, links and main text, pages with text, least and greatest hash of their text, and of their pages' whole texts."""
     seen: dict[tuple[str, str], list] = {}
 
     def flush() -> pa.RecordBatch:
         rows = [(*k, *v) for k, v in seen.items()]
         seen.clear()
-        kinds = (pa.string(), pa.string(), *[pa.int64()] * 9)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "path", "pages", "n", "print", "chars", "links", "inner", "filled", "lo", "hi"])
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 11)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "path", "pages", "n", "print", "chars", "links", "inner", "filled", "lo", "hi", "plo", "phi"])
 
     for b in batches:
         for i in range(len(b)):
@@ -212,6 +215,7 @@ def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in page.opened:
                 counts[path] = counts.get(path, 0) + 1
             texts: dict[str, list] = {}
+            whole = 0
             for path, dropped, in_main, link, text, _ in page.runs:
                 if dropped or not (own := text.strip()):
                     continue
@@ -220,18 +224,21 @@ def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t[1] += len(own) if link else 0
                 t[2] += len(own) if in_main else 0
                 t[3] = zlib.crc32(own.encode("utf-8", "replace"), t[3])
+                whole = zlib.crc32(own.encode("utf-8", "replace"), whole)
             for path, n in counts.items():
                 t = texts.get(path)
                 chars, links, inner, text_hash = t or (0, 0, 0, None)
                 s = seen.get((host, path))
                 if s is None:
-                    seen[host, path] = [1, n, mark * n, chars, links, inner, int(t is not None), text_hash, text_hash]
+                    seen[host, path] = [1, n, mark * n, chars, links, inner, int(t is not None), text_hash, text_hash, *([whole] * 2 if t or not path else [None] * 2)]
                     continue
                 for i, x in enumerate((1, n, mark * n, chars, links, inner)):
                     s[i] += x
                 if t:
                     s[6] += 1
                     s[7], s[8] = (text_hash, text_hash) if s[7] is None else (min(s[7], text_hash), max(s[8], text_hash))
+                if t or not path:
+                    s[9], s[10] = (whole, whole) if s[9] is None else (min(s[9], whole), max(s[10], whole))
             if len(seen) > 200_000:
                 yield flush()
     yield flush()
@@ -245,8 +252,10 @@ def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
     total = int(tokens["total"].iloc[0])
     figures = {r.path: r for r in tokens.itertuples()}
 
+    varied = {(r.print, r.pages) for r in tokens.itertuples() if r.chars > 0 and r.lo != r.hi}
+
     def constant(r) -> bool:
-        return r.lo == r.hi and r.chars > 0 and (r.filled >= MIN_PAGES or (total >= MIN_PAGES and r.filled >= SUPPORT * total))
+        return r.chars > 0 and r.lo == r.hi and r.plo != r.phi and (r.filled >= min(OFTEN, SUPPORT * total) or (r.print, r.pages) in varied)
 
     def linked(r) -> bool:
         if r.inner:  # the links of headings point to what they head
@@ -271,16 +280,16 @@ def deduce(tokens: pd.DataFrame) -> pd.DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """group, template, kept, links: one row per host with MIN_PAGES pages, and one with group '' for the others together."""
-    seen = pages.select("page_id", "url", "html").mapInArrow(observe, "host string, path string, pages long, n long, print long, chars long, links long, inner long, filled long, lo long, hi long")
-    sums = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links", "inner", "filled")] + [F.sum(F.col("print").cast("decimal(38,0)")).alias("print"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    """group, template, kept, links: one row per host with two different pages, and one with group '' for the others together."""
+    seen = pages.select("page_id", "url", "html").mapInArrow(observe, "host string, path string, pages long, n long, print long, chars long, links long, inner long, filled long, lo long, hi long, plo long, phi long")
+    sums = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links", "inner", "filled")] + [F.sum(F.col("print").cast("decimal(38,0)")).alias("print"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("plo").alias("plo"), F.max("phi").alias("phi")]
     by_host = stage(seen.groupBy("host", "path").agg(*sums), "tokens")
-    hosts = by_host.where("path = ''").select(F.col("host").alias("h"), F.when(F.col("pages") >= MIN_PAGES, F.col("host")).otherwise("").alias("group"))
-    again = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links", "inner", "filled", "print")] + [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    hosts = by_host.where("path = ''").select(F.col("host").alias("h"), F.when(F.col("plo") != F.col("phi"), F.col("host")).otherwise("").alias("group"))
+    again = [F.sum(c).alias(c) for c in ("pages", "n", "chars", "links", "inner", "filled", "print")] + [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("plo").alias("plo"), F.max("phi").alias("phi")]
     tokens = stage(by_host.join(hosts, F.col("host") == F.col("h")).groupBy("group", "path").agg(*again), "group-tokens")
     total = tokens.where("path = ''").select(F.col("group").alias("g"), F.col("pages").alias("total"))
-    frequent = tokens.join(total, F.col("group") == F.col("g")).where((F.col("pages") >= SUPPORT * F.col("total")) | ((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= LAYOUT * F.col("total"))))
-    frequent = frequent.select("group", "path", "pages", "total", "chars", "links", "inner", "filled", "lo", "hi", F.col("print").cast("string").alias("print"))
+    frequent = tokens.join(total, F.col("group") == F.col("g")).where((F.col("pages") >= SUPPORT * F.col("total")) | ((F.col("pages") >= 2) & (F.col("pages") >= LAYOUT * F.col("total"))))
+    frequent = frequent.select("group", "path", "pages", "total", "chars", "links", "inner", "filled", "lo", "hi", "plo", "phi", F.col("print").cast("string").alias("print"))
     return stage(frequent.groupBy("group").applyInPandas(deduce, "group string, template array<string>, kept array<string>, links array<string>"), "templates")
 
 

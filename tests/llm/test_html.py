@@ -34,8 +34,8 @@ def test_templates(spark, article):
         assert got[k].n_chars == len(got[k].text) and got[k].url.endswith(f"{k}?q=1")
 
 
-def test_few_pages_share_a_template(spark):
-    pages = [r for h in range(6) for r in rows(True, 2, f"h{h}.example.org")] + [(90, None, page(1, ["x"])), (91, "nonsense", page(1, ["y"]))]
+def test_hosts_of_one_page_share_a_template(spark):
+    pages = [(h, f"https://h{h}.example.org/", page(h, [f"First {h} words."])) for h in range(12)] + [(90, None, page(1, ["x"])), (91, "nonsense", page(1, ["y"]))]
     assert all(r.text.startswith("Title") and "Share" not in r.text and "Nice" not in r.text and "cookies" not in r.text for r in main_text(spark.createDataFrame(pages, SCHEMA)).collect())
 
 
@@ -118,3 +118,61 @@ def test_main_is_named_as_a_whole(source, want):
 )
 def test_names_inside_an_article(source, want):
     assert extract(f"<article>{source}</article>", *NONE) == want
+
+
+def deduced(spark, pages):
+    found = html.templates(spark.createDataFrame(pages, SCHEMA)).collect()
+    return {r.group: (frozenset(r.template), frozenset(r.kept), frozenset(r.links)) for r in found}
+
+
+def test_the_template_makes_the_result(spark):
+    """Without article or main, paragraphs with telling names are text, and constant ones without are not: by the host's template alone."""
+
+    def source(k):
+        return f"<body><div class=w><div class=t9>Printed in our own works</div><h1>Title {k}</h1><p class='body-law'>Clause {k}.</p><p class=x>More {k}.</p><div class=e3>The end of the page</div></div></body>"
+
+    for n in (2, 7, 8, 20):
+        pages = [(k, f"https://a.example.com/{k}", source(k)) for k in range(n)]
+        got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, SCHEMA)).collect()}
+        assert got == {k: f"Title {k}\n\nClause {k}.\n\nMore {k}." for k in range(n)}
+        told = deduced(spark, pages)["a.example.com"]
+        assert extract(source(0), *told) == got[0] != extract(source(0), *NONE)
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 8, 30])
+def test_every_number_of_pages_is_treated_alike(spark, n):
+    """Inside an article too: from two different pages on, what never changes is the template's; named paragraphs stay."""
+    pages = [(k, f"https://a.example.com/{k}", f"<article><h1>Title {k}</h1><p class='legal'>Law {k}.</p><div class=k1>Same words</div></article>") for k in range(n)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got == {k: f"Title {k}\n\nLaw {k}." for k in range(n)}
+
+
+def test_two_copies_are_no_template(spark):
+    same = "<article><h1>Same</h1><p>text</p></article>"
+    pages = [(1, "https://a.example.com/1", same), (2, "https://a.example.com/2", same), (3, "https://b.example.com/", "<article><h1>Other</h1><p>words</p></article>")]
+    assert sorted((r.page_id, r.text) for r in main_text(spark.createDataFrame(pages, SCHEMA)).collect()) == [(1, "Same\n\ntext"), (2, "Same\n\ntext"), (3, "Other\n\nwords")]
+
+
+def test_classes_equal_brute_force(spark):
+    """Tokens with equal occurrence vectors are one class; classes of several tokens, or on all pages, nest into the template."""
+
+    def source(k):
+        extra = "".join(f"<section class=s><h2>Part {k} {i}</h2><p>Text {k} {i}</p></section>" for i in range(k % 3))
+        return f"<body><div class=top><h1>T {k}</h1>{extra}</div>{'<table><tr><td>cell ' + str(k) + '</table>' if k % 2 else ''}<em>x{k}</em><div class=end{chr(97 + k)}>rare {k}</div></body>"
+
+    pages = [(k, f"https://a.example.com/{k}", source(k)) for k in range(9)]
+    vectors = {}
+    for k, _, h in pages:
+        for path in ["", *Page(h).opened]:
+            vectors.setdefault(path, [0] * 9)[k] += 1
+    vectors[""] = [1] * 9
+    n_pages = {p: sum(x > 0 for x in v) for p, v in vectors.items()}
+    frequent = {p for p, n in n_pages.items() if n >= 2}
+    classes = {}
+    for p in frequent:
+        classes.setdefault(tuple(vectors[p]), set()).add(p)
+    large = {p for c in classes.values() for p in c if len(c) > 1 or n_pages[p] == 9}
+    nested = {p for p in large if all(p[:i] in large for i, c in enumerate(p) if c == "/" and i)} | {""}
+    template, kept, links = deduced(spark, pages)["a.example.com"]
+    assert template == nested and kept == nested and not links
+    assert any("section" in p for p in nested) and any("td" in p for p in nested) and not any("div.end" in p for p in nested)
