@@ -28,20 +28,28 @@ from quarry.llm.common import WORD, stage, table
 CAP = 3.0
 #: The state of so many sources is broadcast in a Newton step; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Classes of documents with one source and size are ranked whole up to this count, in salted parts beyond it.
-WHOLE_CLASS = 256
+#: Members of a class (one source, one size) that are ranked together; larger ones are ranked in ranges of their hash, with the same result.
+TOGETHER = 256
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df, written, with each row's place in this order as ``place``, from 0. Each partition of the sorted rows is numbered by itself, and begins where those before it end."""
+    at = F.monotonically_increasing_id()
+    rows = stage(df.orderBy(*order).withColumn("part", F.shiftright(at, 33)).withColumn("place", at.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_part"))
+    first = sizes.select("part", (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("first"))  # a row for each partition
+    return rows.join(F.broadcast(first), "part").withColumn("place", F.col("place") + F.col("first")).drop("part", "first")
+
+
 def targets(hist: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """src, source_size, mean, target. One row per source; shares are capped at CAP times the source and the rest is shared anew."""
     per = hist.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())) - 1
-    weight = F.element_at(F.lit([float(w) for w in weights]), F.pmod(rank, F.lit(len(weights))) + 1)
-    src = stage(per.withColumn("weight", weight), "sources")
+    weight = F.element_at(F.lit([float(w) for w in weights]), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1)
+    src = stage(numbered(per, F.col("src").asc_nulls_last()).withColumn("weight", weight).drop("place"), "sources")
     total = src.agg(F.sum("source_size")).first()[0] or 0
     # Newton on the level: every round caps the sources that the level overfills, until none is above.
     level, cap = 0.0, CAP * F.col("source_size")
@@ -69,6 +77,7 @@ def balance(hist: DataFrame, goal: DataFrame, tolerance: float = 1e-10, most: in
     fixed = F.col("target") >= CAP * F.col("source_size")
     state = goal.select("src", "mean", "target", F.when(fixed, F.lit(None)).otherwise(F.lit(0.0)).cast("double").alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
     few = goal.count() <= BROADCAST_SOURCES
+    worst = None
     for _ in range(most):
         s = F.broadcast(state) if few else state
         x = F.col("size") / F.col("mean")
@@ -89,6 +98,8 @@ def balance(hist: DataFrame, goal: DataFrame, tolerance: float = 1e-10, most: in
         state = done.drop("err").unionByName(state.where("lam is null"))
         if worst is None or worst <= tolerance:
             break
+    if worst is not None and worst > 1e-6:
+        raise RuntimeError(f"a source's rates miss its target by a part of {worst} after {most} steps")
     # The last digits depend on the order of summation; without them reruns agree.
     return stage(state.select("src", F.round("lam", 9).alias("lam")), "lambda")
 
@@ -128,11 +139,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
         .withColumn("whole", F.floor("w").cast("long"))
         .withColumn("frac", F.col("w") - F.col("whole"))
     )
-    parts = F.when(F.col("n") > WHOLE_CLASS, F.ceil(F.sqrt("n"))).otherwise(1).cast("long")
+    parts = F.ceil(F.col("n") / TOGETHER).cast("long")
     classes = classes.select("src", "size", "n", "source_size", "target", "whole", "frac", parts.alias("parts"))
     schema = "c_src string, c_size long, source_size long, target double, whole long, extra long, parts long"
     classes = stage(classes.groupBy("src").applyInPandas(settle, schema), "classes")
-    rows = all_sizes.join(classes, F.col("src").eqNullSafe(F.col("c_src")) & (F.col("size") == F.col("c_size"))).withColumn("mark", F.xxhash64("id")).withColumn("part", F.pmod("mark", "parts"))
+    rows = all_sizes.join(classes, F.col("src").eqNullSafe(F.col("c_src")) & (F.col("size") == F.col("c_size")))
+    # Parts are ranges of the hash, so that ranks don't depend on how many there are.
+    rows = rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64("id"), 11)).withColumn("part", F.floor(F.col("mark") / float(1 << 53) * F.col("parts")))
     rows = rows.select("id", "src", "size", "source_size", "target", "whole", "extra", "parts", "mark", "part")
     counts = rows.where("parts > 1").groupBy("src", "size", "part").agg(F.count(F.lit(1)).alias("k"))
     shift = counts.withColumn("shift", F.coalesce(F.sum("k").over(Window.partitionBy("src", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -151,7 +164,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of docs as often as mix takes them, with the columns of docs. Rows that repeat an id share its copies evenly."""
+    """The rows of docs as often as mix takes them, with the columns of docs.
+
+    Rows without words are taken once; a null source is a source. Rows that repeat an id share its
+    copies evenly, rows without an id likewise. Extra columns come along, whatever their names. An
+    empty table gives no rows.
+    """
     own = "_quarry_id", "_quarry_copies", "_quarry_copy"
     shares = mix(docs, weights).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias(own[1])).where(F.col(own[1]) > 0).withColumnRenamed("doc_id", own[0])
     taken = docs.join(shares, docs["doc_id"].eqNullSafe(F.col(own[0])))

@@ -58,16 +58,60 @@ def test_reruns_agree(spark):
     assert told(1) == told(7)
 
 
-def test_large_class_is_ranked_in_parts(spark, monkeypatch):
+def test_parts_change_no_rank(spark, monkeypatch):
+    """Every copy is the same, however many parts a class is ranked in."""
     from quarry.llm import mixing
 
-    rows = [(i, "a b c", "en", "x" if i % 2 else "y", 1) for i in range(400)]
-    whole = mix(docs(spark, rows)).groupBy("source_size").agg(F.sum("taken")).collect()
-    monkeypatch.setattr(mixing, "WHOLE_CLASS", 10)
-    parts = mix(docs(spark, rows)).groupBy("source_size").agg(F.sum("taken")).collect()
-    assert whole == parts
+    rows = [(i, "a b c" if i % 5 else "a b", "en", "x" if i % 3 else "y", 1) for i in range(400)]
+    told = lambda: sorted(map(tuple, mix(docs(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "TOGETHER", 10_000)
+    whole = told()
+    for together in (256, 10, 1):
+        monkeypatch.setattr(mixing, "TOGETHER", together)
+        assert told() == whole
+
+
+def test_rates_solve_the_dual(spark):
+    """Each source's tilt, by bisection on all its documents."""
+    from quarry.llm import mixing
+
+    rows = many() + awkward()
+    hist = mixing.sizes(docs(spark, rows)).groupBy("src", "size").agg(F.count(F.lit(1)).alias("n"))
+    goal = mixing.targets(hist)
     size, target = brute_targets(rows)
-    assert abs(whole[0][1] - sum(target.values())) <= 6
+    for r in mixing.balance(hist.where("size > 0"), goal).collect():
+        own = [n for n in (len(WORD.findall(t or "")) for _, t, _, s, _ in rows if s == r.src) if n]
+        mean = max(size[r.src] / sum(1 for x in rows if x[3] == r.src), 1.0)
+        if r.lam is None:
+            assert target[r.src] == pytest.approx(3 * size[r.src])
+            continue
+        taken = lambda lam: sum(n * 3 / (1 + 2 * math.exp(-max(min(lam * n / mean, 700), -700))) for n in own)  # noqa: E731, B023
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if taken((lo + hi) / 2) < target[r.src] else (lo, (lo + hi) / 2)
+        assert r.lam == pytest.approx(lo, abs=1e-6)
+
+
+def test_a_miss_is_an_error(spark):
+    from quarry.llm import mixing
+
+    hist = mixing.sizes(docs(spark, many())).groupBy("src", "size").agg(F.count(F.lit(1)).alias("n"))
+    with pytest.raises(RuntimeError, match="miss"):
+        mixing.balance(hist, mixing.targets(hist), most=1)
+
+
+def test_numbered(spark):
+    df = spark.range(500).selectExpr("id", "case when id % 50 = 0 then null else cast(id as string) end as x").repartition(7)
+    rows = sorted(mixing_numbered(df), key=lambda r: r[1])
+    assert [p for _, p in rows] == list(range(500))
+    names = [x for x, _ in rows]
+    assert names == sorted(names, key=lambda x: (x is None, x or ""))
+
+
+def mixing_numbered(df):
+    from quarry.llm import mixing
+
+    return [(r.x, r.place) for r in mixing.numbered(df, F.col("x").asc_nulls_last()).collect()]
 
 
 def test_take_copies(spark):
