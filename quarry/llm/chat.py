@@ -12,7 +12,9 @@ no example; they come, with everything before them, as one last example without
 
 An example holds its whole context, so a conversation of n assistant turns is written about n / 2
 times over: that is what the expansion is. Tasks stream the rows of their conversations in turn
-order and hold one conversation's text so far, which is as long as its longest example.
+order and hold one conversation's text so far, which is as long as its longest example. Reading
+back, each example is cut where it lies to its length and its reply; only those travel, and the whole
+text of a conversation's last example.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ CONTROLS = (TURN, END, HEAD, "[/INST]", "<<SYS>>", "<</SYS>>")
 _special = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))
 _turn = re.compile(f"{re.escape(TURN)}(.*?){re.escape(HEAD)}(.*?){re.escape(END)}", re.DOTALL)
 _escaped = re.compile(r"\\(.)", re.DOTALL)
-_EXAMPLE = "conv_id long, example int, text string, target_start long, target_end long"
+_EXAMPLE = "conv_id long, example int, text string, target_start long, target_end long, last boolean"
+_PART = "conv_id long, example int, chars long, reply string, whole string"
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -65,19 +68,29 @@ def parse(text: str) -> list[tuple[str, str]]:
 def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Examples from rows sorted by conversation and turn."""
     rows: list[tuple] = []
-    size, first, conv, prefix, number, open_turns = 0, True, None, "", 0, False
+    size, first, conv, prefix, number, open_turns, held = 0, True, None, "", 0, False, None
 
     def flush() -> pa.RecordBatch:
         nonlocal size
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["conv_id", "example", "text", "target_start", "target_end"])
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["conv_id", "example", "text", "target_start", "target_end", "last"])
         rows.clear()
         size = 0
         return out
 
+    def put(last: bool) -> None:
+        """The example held back until it is known whether another of its conversation follows."""
+        nonlocal held
+        if held:
+            rows.append((*held, last))
+        held = None
+
     def rest() -> None:
+        nonlocal held
         if open_turns:
-            rows.append((conv, number, prefix, None, None))
+            put(False)
+            held = (conv, number, prefix, None, None)
+        put(True)
 
     for b in batches:
         for c, role, text in zip(b["conv_id"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -88,7 +101,8 @@ def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, prefix = len(prefix) + start, len(prefix) + end, prefix + turn
             open_turns = True
             if role == "assistant":
-                rows.append((conv, number, prefix, start, end))
+                put(False)
+                held = (conv, number, prefix, start, end)
                 number, open_turns = number + 1, False
                 size += len(prefix)
                 if size > 1 << 22:
@@ -98,7 +112,7 @@ def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chat_examples(conversations: DataFrame) -> DataFrame:
-    """conv_id, example, text, target_start, target_end (code points; null without a target), written and read back.
+    """conv_id, example, text, target_start, target_end (code points; null without a target), last, written and read back.
 
     Rows go by turn, ties by role and text, null turns first. Null roles and texts are empty. Rows
     with a null conv_id make one conversation. Repeated rows are turns of their own. Other columns
@@ -109,32 +123,32 @@ def chat_examples(conversations: DataFrame) -> DataFrame:
     return stage(rows.mapInArrow(expand, _EXAMPLE), "examples")
 
 
-def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per conversation from examples sorted by conversation and number; turns come from the last example."""
-    rows: list[tuple] = []
-    first, conv, last, loss, loss_chars, chars = True, None, "", hashlib.sha256(), 0, 0
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each example its length, its unescaped reply, and, of a conversation's last, the whole text."""
+    for b in batches:
+        texts, starts, ends, last = (b[k].to_pylist() for k in ("text", "target_start", "target_end", "last"))
+        chars = pa.array([len(t) for t in texts], pa.int64())
+        replies = pa.array([None if i is None else unescape(t[i:j]) for t, i, j in zip(texts, starts, ends, strict=True)], pa.string())
+        whole = pa.array([t if x else None for t, x in zip(texts, last, strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([b["conv_id"], b["example"], chars, replies, whole], ["conv_id", "example", "chars", "reply", "whole"])
 
-    def end() -> None:
-        turns = parse(last)
-        told = hashlib.sha256()
-        for role, text in turns:
-            told.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        rows.append((conv, len(turns), told.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
+def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per conversation from what cut gives, sorted by conversation and number; turns come from the last example."""
+    rows: list[tuple] = []
+    loss, loss_chars, chars = hashlib.sha256(), 0, 0
     for b in batches:
-        for i in range(len(b)):
-            c, text, start, stop = (b[k][i].as_py() for k in ("conv_id", "text", "target_start", "target_end"))
-            if first or c != conv:
-                if not first:
-                    end()
-                first, conv, loss, loss_chars, chars = False, c, hashlib.sha256(), 0, 0
-            last, chars = text, chars + len(text)
-            if start is not None:
-                reply = unescape(text[start:stop])
+        for c, n, reply, whole in zip(b["conv_id"].to_pylist(), b["chars"].to_pylist(), b["reply"].to_pylist(), b["whole"].to_pylist(), strict=True):
+            chars += n
+            if reply is not None:
                 loss.update(reply.encode("utf-8", "surrogatepass"))
                 loss_chars += len(reply)
-    if not first:
-        end()
+            if whole is not None:
+                turns, told = parse(whole), hashlib.sha256()
+                for role, text in turns:
+                    told.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                rows.append((c, len(turns), told.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                loss, loss_chars, chars = hashlib.sha256(), 0, 0
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
@@ -142,7 +156,8 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(examples: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples of a conversation)."""
     order = [F.col("conv_id").asc_nulls_first(), "example"]
-    return examples.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(digest, _DIGEST)
+    parts = examples.select("conv_id", "example", "text", "target_start", "target_end", "last").mapInArrow(cut, _PART)
+    return parts.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(digest, _DIGEST)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
