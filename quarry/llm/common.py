@@ -34,10 +34,13 @@ def bound_batches(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which every executor shares.
 
-    Only where that setting is unset (one-machine tests) is a temporary folder made and set.
+    Only where that setting is unset and all runs on one machine is a temporary folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
