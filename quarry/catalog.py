@@ -1,6 +1,6 @@
 """The catalog: tables, keys and unique indexes, kept as one JSON file beside the data.
 
-Files are reached through Hadoop's file system, so a database may lie on any store Spark can write.
+Files are reached through Hadoop's file system, so tables may lie on any store Spark can write.
 The catalog is written to a new file that then takes the old one's place. One writer at a time.
 """
 

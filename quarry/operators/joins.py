@@ -36,7 +36,8 @@ def hash_join(left: DataFrame, right: DataFrame, left_key: Attribute, right_key:
     """An inner join on one attribute of each side.
 
     build "all": every left row counts. build "last_wins": of left rows with one key only the one
-    with the greatest ``sequence`` does, as if later rows overwrote earlier ones.
+    with the greatest ``sequence`` does, as if later rows overwrote earlier ones. Of rows with that
+    sequence too, the one whose columns are greatest in order, compared from the first, wins.
     """
     if build == "last_wins":
         if sequence is None:
@@ -44,8 +45,8 @@ def hash_join(left: DataFrame, right: DataFrame, left_key: Attribute, right_key:
         left = distinct_columns(left)
         key, order = field_of(left, left_key).name, field_of(left, sequence).name
         row = F.struct(*[F.col(quoted(c)) for c in left.columns])
-        last = left.groupBy(F.col(quoted(key)).alias("_key")).agg(F.max_by(row, F.col(quoted(order))).alias("_row"))
-        left = last.select(*[F.col("_row").getField(c).alias(c) for c in left.columns])
+        last = left.groupBy(F.col(quoted(key)).alias("_key")).agg(F.max(F.struct(F.col(quoted(order)).alias("_at"), row.alias("_row"))).alias("_last"))
+        left = last.select(*[F.col("_last")["_row"].getField(c).alias(c) for c in left.columns])
     elif build != "all":
         raise ValueError(f"build {build!r}")
     return equi_join(left, right, [(left_key, right_key)])

@@ -91,6 +91,7 @@ for _op in _SIGNS:
     _add_filter(f"filter_bool_{_op}", "customer", ["c_custkey", "overdrawn"], "overdrawn", _op, _bool if _op != "gt" else False, literal=str(_bool if _op != "gt" else False).lower())
     _add_filter(f"filter_attr_{_op}", "lineitem", ["l_orderkey", "l_partkey", "l_suppkey"], "l_partkey", _op, other="l_suppkey")
 
+add_dialect("filter_same_table", "select l_orderkey, l_linenumber from lineitem a where a.l_partkey = a.l_suppkey")
 add_dialect("filter_conjunction", "select o_orderkey from orders where o_orderstatus = 'F' and o_custkey = 7")
 
 
@@ -178,10 +179,21 @@ def _sort_char(spark, sf_dir):
     return O.project(_positions(O.sort(df, [("c_mktsegment", False), ("c_custkey", True)])), ["c_custkey", "c_name", "pos"])
 
 
-@add("sort_external", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem")
+def _ordered(df: DataFrame) -> DataFrame:
+    """The place of each row in a sorted DataFrame, without one task for all: places in a partition, and the rows of the partitions before it."""
+    at = df.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() % (1 << 33))
+    sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return at.join(F.broadcast(before), "_part").withColumn("pos", (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_part", "_in", "_before")
+
+
+@add(
+    "sort_external",
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (order by l_partkey, l_suppkey desc, l_orderkey, l_linenumber desc) as pos from lineitem",
+)
 def _sort_external(spark, sf_dir):
     df = O.project(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return O.sort(df, [("l_partkey", False), ("l_suppkey", True)])
+    return _ordered(O.sort(df, [("l_partkey", False), ("l_suppkey", True), ("l_orderkey", False), ("l_linenumber", True)]))
 
 
 @add("sort_unsigned", "select x, cast(row_number() over (order by x < 0, x) as integer) as pos from (select p_partkey * case when p_partkey % 2 = 0 then -1 else 1 end as x from part)")
@@ -244,18 +256,22 @@ add_dialect(
 )
 
 
-# Definitions and loading, in a database of its own
+# Definitions and loading, in a folder of their own
 
 
-def _database(spark: SparkSession) -> tuple[Session, str]:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-    root = f"{base.rstrip('/')}/quarry-db-{uuid.uuid4().hex[:12]}"
+def _own(spark: SparkSession) -> tuple[Session, str]:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+    root = f"{base.rstrip('/')}/quarry-tables-{uuid.uuid4().hex[:12]}"
     return Session(spark, root), root
 
 
 @add("sql_copy_roundtrip", "select n_nationkey, n_name, n_regionkey from nation")
 def _copy(spark, sf_dir):
-    db, root = _database(spark)
+    db, root = _own(spark)
     table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(f"{root}/nation.csv")
     db.execute("create table nation (n_nationkey integer, n_name char(25), n_regionkey integer, primary key (n_nationkey))")
     db.execute(f"copy nation from '{root}/nation.csv' csv header")
@@ -264,7 +280,7 @@ def _copy(spark, sf_dir):
 
 @add("sql_ddl_insert_select", "select * from (values (1, 'foo'), (2, 'bar')) t(a, b)")
 def _insert(spark, sf_dir):
-    db, _ = _database(spark)
+    db, _ = _own(spark)
     for s in ("create table t (a int, b char(8), primary key (a))", "create index t_b on t (b)", "insert into t values (1, 'foo')", "insert into t values (2, 'bar')"):
         db.execute(s)
     return db.query("select * from t")
@@ -272,7 +288,7 @@ def _insert(spark, sf_dir):
 
 @add("sql_erase_upsert", "select n_nationkey, n_name from nation where n_regionkey <> 2 and n_nationkey <> 3 union all select 3, 'THREE'")
 def _change(spark, sf_dir):
-    db, _ = _database(spark)
+    db, _ = _own(spark)
     db.execute("create table t (k int, name char(25), region int, primary key (k))")
     db.upsert("t", table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     db.erase("t", Comparison("region", "eq", 2))
@@ -280,13 +296,30 @@ def _change(spark, sf_dir):
     return db.query("select k, name from t").toDF("n_nationkey", "n_name")
 
 
+@add("sql_drop_create", "select * from (values (3)) t(b)")
+def _drop(spark, sf_dir):
+    db, _ = _own(spark)
+    for s in ("create table t (a int, primary key (a))", "insert into t values (1)", "drop table t", "create table t (b int)", "insert into t values (3)"):
+        db.execute(s)
+    return db.query("select * from t")
+
+
+@add("text_output", "select r_regionkey || ',' || r_name as line, cast(row_number() over (order by r_regionkey desc) - 1 as integer) as pos from region")
+def _text_output(spark, sf_dir):
+    text = O.print_text(O.sort(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), [(0, True)]))
+    return spark.createDataFrame([(x, i) for i, x in enumerate(text.splitlines())], "line string, pos int")
+
+
 # Grouping and ordering in the dialect
 
-add_dialect(
-    "sql_flagship",
-    """select n_name, count(*), min(o_orderkey) from nation, customer, orders
-    where n_nationkey = c_nationkey and c_custkey = o_custkey and o_orderstatus = 'F' group by n_name order by n_name""",
-    """select n_name, count(*) as n, min(o_orderkey) as first_order from nation, customer, orders
-    where n_nationkey = c_nationkey and c_custkey = o_custkey and o_orderstatus = 'F' group by n_name""",
-    ["n_name", "n", "first_order"],
-)
+_FLAGSHIP = """select n_name, count(*), min(o_orderkey) from nation, customer, orders
+    where n_nationkey = c_nationkey and c_custkey = o_custkey and o_orderstatus = 'F' group by n_name order by n_name"""
+_FLAGSHIP_SQL = """select n_name, count(*) as n, min(o_orderkey) as first_order from nation, customer, orders
+    where n_nationkey = c_nationkey and c_custkey = o_custkey and o_orderstatus = 'F' group by n_name"""
+add_dialect("sql_flagship", _FLAGSHIP, _FLAGSHIP_SQL, ["n_name", "n", "first_order"])
+
+
+@add("sql_order_by", f"select *, cast(row_number() over (order by n desc, first_order) as integer) as pos from ({_FLAGSHIP_SQL})")
+def _order_by(spark, sf_dir):
+    text = _FLAGSHIP.replace("order by n_name", "order by 2 desc, 3")
+    return _positions(session(spark, sf_dir).query(text).toDF("n_name", "n", "first_order"))

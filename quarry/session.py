@@ -17,14 +17,16 @@ from quarry.sql.binder import Binder, Columns, literal_mismatch
 from quarry.sql.errors import BindError, CSVError, DuplicateKey, DuplicateTable, PlanError
 from quarry.sql.lower import lower
 from quarry.sql.parser import parse
-from quarry.types import coerce, engine_type
+from quarry.types import coerce, coerce_value, engine_type
 
 #: Rows inserted one by one are held back up to this many, and written before any read of their table.
 MOST_PENDING = 1000
+#: Key columns with up to so many stored values are read once for repeated INSERTs; longer ones are looked up in the table.
+MOST_KEYS = 1_000_000
 
 
 class Session:
-    """``root`` is the database's folder; without it only registered DataFrames can be queried."""
+    """``root`` is the folder of the native tables; without it only registered DataFrames can be queried."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
@@ -32,6 +34,7 @@ class Session:
         self.views: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._pending: dict[str, list[tuple[str, ...]]] = {}
         self._pending_keys: dict[tuple[str, str], set] = {}
+        self._stored_keys: dict[tuple[str, str], set | None] = {}
 
     def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
         """Make a DataFrame a relation; a function is called when a query first names it."""
@@ -58,7 +61,7 @@ class Session:
         if rule is None:
             return print_text(self._lowered(tree))
         if self.catalog is None:
-            raise PlanError("the session has no database")
+            raise PlanError("the session has no folder for tables")
         return rule(tree)
 
     def close(self) -> None:
@@ -169,26 +172,44 @@ class Session:
         return "INSERT 1\n"
 
     def _check_insert(self, t: Table, row: tuple[str, ...]) -> None:
-        raw = self.spark.createDataFrame([row], ", ".join(f"c{i} string" for i in range(len(row))))
-        values = self._coerced(t, raw).first()
+        values = [coerce_value(x, kind) for x, (_, kind) in zip(row, t.columns, strict=True)]
         for i in t.indexes:
             value, seen = values[t.place(i.column)], self._pending_keys.setdefault((t.name, i.column), set())
-            if value in seen or self._stored(t).where(F.col(quoted(i.column)) == F.lit(value)).take(1):
+            if value in seen or self._has_key(t, i.column, value):
                 raise DuplicateKey(f"duplicate key {value!r} in column `{i.column}` of `{t.name}`")
         for i in t.indexes:
             self._pending_keys[t.name, i.column].add(values[t.place(i.column)])
 
+    def _has_key(self, t: Table, column: str, value: int | str) -> bool:
+        """Whether a stored row has this key: from the keys read once, or, where they are many, by a look-up in the files."""
+        at = t.name, column
+        if at not in self._stored_keys:
+            rows = self._stored(t).select(F.col(quoted(column))).limit(MOST_KEYS + 1).collect()
+            self._stored_keys[at] = {r[0] for r in rows} if len(rows) <= MOST_KEYS else None
+        keys = self._stored_keys[at]
+        return value in keys if keys is not None else bool(self._stored(t).where(F.col(quoted(column)) == F.lit(value)).take(1))
+
     def _flush(self, name: str) -> None:
+        """Write the rows held back; their keys join those read before."""
         rows, t = self._pending.pop(name, []), self._table(name)
         if rows and t:
             raw = self.spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(len(t.columns))))
             self._append(t, self._coerced(t, raw).coalesce(1))
-        self._forget(name)
+            for at in [k for k in self._pending_keys if k[0] == name]:
+                new, known = self._pending_keys.pop(at), self._stored_keys.get(at)
+                if known is not None:
+                    known |= new
+                    if len(known) > MOST_KEYS:
+                        self._stored_keys[at] = None
+        else:
+            self._forget(name)
 
     def _forget(self, name: str) -> None:
+        """Drop what is held of a table that changes otherwise."""
         self._pending.pop(name, None)
-        for key in [k for k in self._pending_keys if k[0] == name]:
-            del self._pending_keys[key]
+        for held in (self._pending_keys, self._stored_keys):
+            for key in [k for k in held if k[0] == name]:
+                del held[key]
 
     # Changes beyond the dialect: the table is written anew and its old files go once the catalog names the new ones
 
@@ -222,6 +243,7 @@ class Session:
     def _rewrite(self, t: Table, rows: DataFrame) -> None:
         old, new = t.folder, f"data/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.catalog.store.root}/{new}")
+        self._forget(t.name)
         t.folder = new
         self.catalog.save()
         self.catalog.store.delete(old)
@@ -242,6 +264,7 @@ class Session:
                     raise DuplicateKey(f"duplicate key {met[0][t.place(i.column)]!r} in column `{i.column}` of `{t.name}`")
             n = rows.count() if n is None else n
             self._append(t, rows)
+            self._forget(t.name)
         except DuplicateKey:
             raise
         except Exception as e:

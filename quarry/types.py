@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -59,5 +60,13 @@ def to_char(text: Column, width: int) -> Column:
     return F.make_valid_utf8(F.substring(head, 1, width).cast("string"))
 
 
+def coerce_value(text: str, kind: EngineType) -> int | str:
+    """What coerce stores for one text."""
+    if kind.kind == INTEGER:
+        n = int(text) if re.fullmatch(r"[+-]?[0-9]{1,4000}", text, re.ASCII) else 0
+        return n if -(1 << 31) <= n < 1 << 31 else 0
+    return text.partition("\0")[0].encode("utf-8", "replace")[: kind.width].decode("utf-8", "replace")
+
+
 def coerce(text: Column, kind: EngineType) -> Column:
     return to_integer(text) if kind.kind == INTEGER else to_char(text, kind.width)

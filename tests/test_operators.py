@@ -91,6 +91,49 @@ def test_hash_join_last_wins(grades, students):
     assert rows(O.project(O.hash_join(grades, students, 0, 0, build="last_wins", sequence=1), [1, 3])) == [(4630, 29555), (5041, 24002)]
 
 
+def test_last_wins_ties_dont_depend_on_partitions(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 5, "c"), (1, 5, "b"), (1, 4, "z"), (2, None, "x")], "k int, at int, v string")
+    right = spark.createDataFrame([(1,), (2,)], "k int")
+    for n in (1, 2, 5):
+        assert rows(O.project(O.hash_join(left.repartition(n), right, 0, 0, build="last_wins", sequence=1), ["v"])) == [("c",), ("x",)]
+
+
+def test_resolve(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 7 as k").repartition(4).write.parquet(f"{tmp_path}/t")
+    t = O.table_scan(spark, f"{tmp_path}/t", with_ids=True)
+    at = O.index_scan(t, "k", 3)
+    want = [(i, 3) for i in range(100) if i % 7 == 3]
+    assert rows(O.resolve(at, t)) == rows(O.resolve(at, t, few=2)) == want
+    assert rows(O.resolve(at.union(at.limit(0)).union(at), t)) == rows(O.resolve(at.union(at), t, few=2)) == sorted(want * 2)
+    assert O.resolve(at.limit(0), t).collect() == []
+    one = O.resolve(O.index_scan(t, "id", 5), t)
+    assert rows(one) == [(5, 5)] and len(one.inputFiles()) == 4 and "Filters: [isnotnull(_metadata" in one._jdf.queryExecution().toString() or "file_name" in one._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("rows_", [[(i * 7919 % 1000, "w" * 150 + str(i)) for i in range(3000)], [(1, "same")] * 500, [(i, "") for i in range(500, 0, -1)], []])
+def test_external_sorts(spark, rows_):
+    """Wide rows, equal rows, rows in falling order, none; over partitions as they come."""
+    df = spark.createDataFrame(rows_, "k int, v string").repartition(3) if rows_ else spark.createDataFrame([], "k int, v string")
+    got = [tuple(r) for r in O.sort(df, [(0, False), (1, True)]).collect()]
+    assert got == sorted(sorted(rows_, key=lambda r: r[1], reverse=True), key=lambda r: r[0])
+
+
+def test_sort_spills(spark):
+    """A sorter held to few rows in memory goes through its spill files and gives the same order."""
+    key = "spark.sql.windowExec.buffer.spill.threshold"
+    spark.conf.set("spark.sql.sortMergeJoinExec.buffer.spill.threshold", "100")
+    spark.conf.set(key, "100")
+    spark.sparkContext._jsc.sc().conf().set("spark.shuffle.spill.numElementsForceSpillThreshold", "500")
+    try:
+        df = spark.range(20_000).selectExpr("(id * 7919) % 20011 as k", "repeat('x', 100) as v")
+        got = [r.k for r in O.sort(df.repartition(2), [(0, True)]).collect()]
+        assert got == sorted(((i * 7919) % 20011 for i in range(20_000)), reverse=True)
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.sortMergeJoinExec.buffer.spill.threshold")
+        spark.sparkContext._jsc.sc().conf().remove("spark.shuffle.spill.numElementsForceSpillThreshold")
+
+
 def test_join_with_itself(students):
     assert O.hash_join(students, students, 0, 0).columns == ["id", "name", "id_2", "name_2"]
     assert O.hash_join(students, students, 0, 0).count() == 3

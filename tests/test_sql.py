@@ -1,6 +1,9 @@
 """The dialect: tokens, trees, binding errors, and statements end to end."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.cli import main
 from quarry.operators import Comparison
@@ -9,6 +12,7 @@ from quarry.sql import nodes as N
 from quarry.sql.errors import BindError, CSVError, DuplicateKey, DuplicateTable, LexError, ParseError
 from quarry.sql.lexer import split_statements, tokenize
 from quarry.sql.parser import parse
+from quarry.types import EngineType, coerce, coerce_value
 
 
 def kinds(text):
@@ -187,6 +191,39 @@ def test_keys_are_unique(spark, tmp_path):
         assert db.execute("select b from t where a = 999") == ""
 
 
+def test_many_keyed_inserts_are_quick(spark, tmp_path, monkeypatch):
+    from quarry import session
+
+    with Session(spark, f"{tmp_path}/db") as db:
+        db.execute("create table t (a int, b char(3), primary key (a))")
+        db.execute("create index t_b on t (b)")
+        start = time.monotonic()
+        for i in range(1500):  # written once on the way
+            db.execute(f"insert into t values ({i}, '{chr(97 + i % 26)}{chr(97 + i // 26)}')")
+        assert time.monotonic() - start < 30
+        for text in ("insert into t values (3, 'zzz')", "insert into t values (2000, 'aa ')", "insert into t values (1499, 'zzz')"):
+            if "2000" in text:
+                db.execute(text)  # cut at three bytes it is another key
+            else:
+                with pytest.raises(DuplicateKey):
+                    db.execute(text)
+        assert db.query("select a from t").count() == 1501
+        monkeypatch.setattr(session, "MOST_KEYS", 10)
+        db._forget("t")
+        with pytest.raises(DuplicateKey):
+            db.execute("insert into t values (700, 'yyy')")
+        db.execute("insert into t values (5000, 'yyy')")
+        db.erase("t", Comparison("a", "eq", 700))
+        db.execute("insert into t values (700, 'xxx')")
+
+
+@pytest.mark.parametrize("text", ["7", "+7", "-0", " 5", "99999999999", "-2147483648", "2147483648", "x", "", "٣", "aé€x", "ab\0cd", "😀z", "1" * 50])
+def test_values_are_coerced_alike(spark, text):
+    for kind in (EngineType("INTEGER"), EngineType("CHAR", 4)):
+        stored = spark.createDataFrame([(text,)], "t string").select(coerce(F.col("t"), kind)).first()[0]
+        assert stored == coerce_value(text, kind)
+
+
 def test_composite_key_is_not_enforced(school):
     assert school.execute("insert into hoeren values (24002, 5001)") == "INSERT 1\n"
 
