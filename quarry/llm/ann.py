@@ -111,7 +111,7 @@ def search_block(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors:
 def nearest(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, a row whose id is divisible by ``every``.
 
-    Nearness is the inner product; equal scores go to the smaller id. Vectors that are null, empty,
+    vec_id is a whole number. Nearness is the inner product; equal scores go to the smaller id. Vectors that are null, empty,
     all zero, or hold null or non-finite components take no part, as rows with a null id. Vectors of
     another length than the query's are no candidates of it. Rows with the query's id are not its
     candidates, and a query id that is repeated is asked once, with the first of its vectors in

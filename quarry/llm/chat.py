@@ -114,7 +114,7 @@ def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chat_examples(conversations: DataFrame) -> DataFrame:
     """conv_id, example, text, target_start, target_end (code points; null without a target), last, written and read back.
 
-    Rows go by turn, ties by role and text, null turns first. Null roles and texts are empty. Rows
+    conv_id is a whole number. Rows go by turn, ties by role and text, null turns first. Null roles and texts are empty. Rows
     with a null conv_id make one conversation. Repeated rows are turns of their own. Other columns
     are not read. An empty table gives no rows.
     """

@@ -257,7 +257,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def token_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of docs, read back from the shards written.
 
-    A null or empty text has the end id only. Rows with null ids come first; rows that repeat an id
+    doc_id is a whole number. A null or empty text has the end id only. Rows with null ids come first; rows that repeat an id
     stand side by side, in no fixed order. Only doc_id and text are read. An empty table writes no shard.
     """
     return read_shards(write_shards(docs, tokenizer, end_id))
