@@ -134,8 +134,8 @@ add_dialect(
     "select a.n_name as a_n_name, b.n_name as b_n_name from nation a, nation b where a.n_regionkey = b.n_regionkey",
 )
 add_dialect(
-    "join_char_key", "select a.p_partkey, b.p_partkey from part a, part b where a.p_name = b.p_name and a.p_size = 11",
-    "select a.p_partkey as a_p_partkey, b.p_partkey as b_p_partkey from part a, part b where a.p_name = b.p_name and a.p_size = 11",
+    "join_char_key", "select a.c_custkey, b.c_custkey from customer a, customer b where a.c_name = b.c_name",
+    "select a.c_custkey as a_c_custkey, b.c_custkey as b_c_custkey from customer a, customer b where a.c_name = b.c_name",
 )
 
 
