@@ -179,21 +179,21 @@ def _sort_char(spark, sf_dir):
     return O.project(_positions(O.sort(df, [("c_mktsegment", False), ("c_custkey", True)])), ["c_custkey", "c_name", "pos"])
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    """The place of each row in a sorted DataFrame, without one task for all: places in a partition, and the rows of the partitions before it."""
-    at = df.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() % (1 << 33))
-    sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    return at.join(F.broadcast(before), "_part").withColumn("pos", (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_part", "_in", "_before")
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@add("sort_external", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem")
+def _sort_external(spark, sf_dir):
+    return O.sort(O.project(table(spark, sf_dir, "lineitem"), _LINE_KEYS), [("l_partkey", False), ("l_suppkey", True)])
 
 
 @add(
-    "sort_external",
-    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (order by l_partkey, l_suppkey desc, l_orderkey, l_linenumber desc) as pos from lineitem",
+    "sort_external_order",
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(row_number() over (order by l_partkey, l_suppkey desc, l_orderkey, l_linenumber desc) as integer) as pos from lineitem",
 )
-def _sort_external(spark, sf_dir):
-    df = O.project(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return _ordered(O.sort(df, [("l_partkey", False), ("l_suppkey", True), ("l_orderkey", False), ("l_linenumber", True)]))
+def _sort_external_order(spark, sf_dir):
+    df = O.project(table(spark, sf_dir, "lineitem"), _LINE_KEYS)
+    return _positions(O.sort(df, [("l_partkey", False), ("l_suppkey", True), ("l_orderkey", False), ("l_linenumber", True)]))
 
 
 @add("sort_unsigned", "select x, cast(row_number() over (order by x < 0, x) as integer) as pos from (select p_partkey * case when p_partkey % 2 = 0 then -1 else 1 end as x from part)")
