@@ -14,7 +14,6 @@ hash of the id; a parameter. Every document is scored whole, long texts in parts
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -32,16 +31,31 @@ MAX_DOCS = 3000
 PART = 1 << 18
 #: Languages of one matrix, and languages that a task counts at once.
 BLOCK = 200
-#: Signs that re takes for word characters though they are numbers: ½, ², Ⅷ and the like, and digits.
-_numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_letter = re.compile(f"[^\\W_{_numbers}]").search
-_gaps = re.compile(f"[\\W_{_numbers}]+").sub
+#: Which code points are letters. In a class of re, numbers beyond U+FFFF (and ½, ², Ⅷ beside them) would be tried one by one on every character.
+LETTERS = np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
 Block = tuple[list[str], np.ndarray, np.ndarray]
 
 
+def normalise(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, with one space for each run of characters that aren't letters and at both ends."""
+    low, space = text.lower(), np.uint32([32])
+    out, inside = [space], False
+    for i in range(0, len(low), PART):
+        codes = np.frombuffer(low[i : i + PART].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = LETTERS[codes]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]  # of other characters the first after a letter
+        kept[0] |= inside
+        out.append(np.where(letter, codes, space)[kept])
+        inside = letter[-1]
+    if inside or not any(map(len, out[1:])):
+        out.append(space)
+    return np.concatenate(out)
+
+
 def buckets(text: str) -> Iterator[np.ndarray]:
     """The rows of the matrix that the n-grams of one text fall in; those that start in one part of PART characters at a time."""
-    codes = np.frombuffer(f" {_gaps(' ', text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = normalise(text)
     for i in range(0, len(codes), PART):
         part = codes[i : i + PART + ORDERS - 1]
         out, h = [], np.zeros(0, np.uint32)
@@ -54,7 +68,7 @@ def buckets(text: str) -> Iterator[np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_letter(text))
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
